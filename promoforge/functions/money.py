@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from promoforge.functions.text import SPACE, ascii_digits, compatible_price_text, normalized, strip_space
-from promoforge.schemas import PACKAGE, PRICE, QUANTITY, UNIT_PRICE
+from promoforge.functions.text import SPACE, price_text
+from promoforge.schemas import QUANTITY, UNIT_PRICE
 
 # The accepted price and package notations.
 PRICE_PATTERN = rf"^(?:€{SPACE}*)?((?:[0-9]{{1,3}}(?:\.[0-9]{{3}})+|[0-9]+)(?:,[0-9]{{2}})?)(?:{SPACE}*€)?$"
@@ -19,8 +19,7 @@ PUBLISHED_PATTERN = rf"^(?:1{SPACE}*(kg|l){SPACE}*={SPACE}*)?([0-9]+[.,][0-9]+){
 
 def money(text: Column) -> Column:
     """Cents of a printed euro amount; null for null and for anything not fully understood."""
-    clean = ascii_digits(strip_space(compatible_price_text(text)))
-    number = F.regexp_extract(clean, PRICE_PATTERN, 1)
+    number = F.regexp_extract(price_text(text), PRICE_PATTERN, 1)
     plain = F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     return (plain.try_cast("decimal(18,2)") * 100).cast("bigint")
 
@@ -46,27 +45,17 @@ def whole_quotient(top: Column, bottom: Column) -> Column:
     return F.call_function("div", top, bottom)
 
 
-def _pattern_group(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group)
+def package_parts(clean: Column) -> dict[str, Column]:
+    """Units, quantity and unit of a package text that is a quantity and nothing else.
 
-
-def package_parts(raw: Column) -> dict[str, Column]:
-    """Units, quantity and unit of a package text that is a quantity and nothing else."""
-    text = ascii_digits(strip_space(raw))
-    units_text = _pattern_group(text, PACKAGE_PATTERN, 1)
-    quantity = F.replace(
-        F.nullif(_pattern_group(text, PACKAGE_PATTERN, 2), F.lit("")), F.lit(","), F.lit(".")
-    ).try_cast(QUANTITY)
-    units = F.when(
-        quantity.isNotNull(), F.when(units_text == "", F.lit(1)).otherwise(units_text.try_cast("bigint"))
-    )
-    total = (quantity * units.cast("decimal(12,0)")).cast("decimal(36,9)")
-    positive = total > 0
+    ``clean`` is the text trimmed and with ASCII digits; parts are null where it is not one.
+    """
+    units = F.nullif(F.regexp_extract(clean, PACKAGE_PATTERN, 1), F.lit(""))
+    quantity = F.replace(F.regexp_extract(clean, PACKAGE_PATTERN, 2), F.lit(","), F.lit("."))
     return {
-        "units": F.when(positive, units),
-        "quantity": F.when(positive, quantity),
-        "unit": F.when(positive, F.lower(_pattern_group(text, PACKAGE_PATTERN, 3))),
-        "total": F.when(positive, total.try_cast(QUANTITY)),
+        "units": F.coalesce(units, F.lit("1")).try_cast("bigint"),
+        "quantity": F.nullif(quantity, F.lit("")).try_cast(QUANTITY),
+        "unit": F.nullif(F.lower(F.regexp_extract(clean, PACKAGE_PATTERN, 3)), F.lit("")),
     }
 
 
@@ -86,12 +75,11 @@ def unit_base(unit: Column) -> Column:
     return F.when(unit.isin("g", "kg"), "kg").when(unit.isin("ml", "l"), "l")
 
 
-def published_price(text: Column) -> dict[str, Column]:
+def published_price(clean: Column) -> dict[str, Column]:
     """A printed unit price ``1 kg = 6.98 €`` or ``6,98 €/kg``: amount and base."""
-    clean = ascii_digits(strip_space(text))
-    base = F.coalesce(
-        F.nullif(F.regexp_extract(clean, PUBLISHED_PATTERN, 1), F.lit("")),
-        F.nullif(F.regexp_extract(clean, PUBLISHED_PATTERN, 3), F.lit("")),
+    base = F.nullif(
+        F.concat(F.regexp_extract(clean, PUBLISHED_PATTERN, 1), F.regexp_extract(clean, PUBLISHED_PATTERN, 3)),
+        F.lit(""),
     )
     amount = F.replace(F.regexp_extract(clean, PUBLISHED_PATTERN, 2), F.lit(","), F.lit("."))
     return {"amount": F.when(base.isNotNull(), amount.try_cast(UNIT_PRICE)), "base": base}

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promoforge.functions.money import euro_text, package_parts, published_price, unit_base, unit_price
-from promoforge.functions.text import text_map
-from promoforge.schemas import CONDITIONS, PACKAGE, PRICE, UNIT_PRICE
+from promoforge.functions.text import ascii_digits, strip_space, text_map
+from promoforge.schemas import CONDITIONS, EVIDENCE, QUANTITY, UNIT_PRICE
 
 
 
@@ -15,51 +15,72 @@ def _null(kind: str) -> Column:
     return F.lit(None).cast(kind)
 
 
-def package_and_price(
-    raw: Column, amount: Column, basis: Column, raw_price: Column, published: Column | None = None
-) -> tuple[Column, Column]:
-    """Package and price structs of an advertised amount.
+def with_package_and_price(
+    rows: DataFrame, raw: Column, amount: Column, basis: Column, raw_price: Column,
+    published: Column | None = None,
+) -> DataFrame:
+    """Add the ``package`` and ``price`` structs of an advertised amount.
 
     The package is understood only if its text is a quantity and nothing else. A pack price
     then gets a calculated unit price; a printed unit price overrides the base; a price per
-    kilogram or litre is its own unit price.
+    kilogram or litre is its own unit price. Steps are separate columns, so every pattern is
+    evaluated once per row.
     """
-    parts = package_parts(raw)
-    total, unit = parts["total"], parts["unit"]
-    known = total.isNotNull()
+    col = F.col
+    stated_text = _null("string") if published is None else published
+    rows = rows.withColumns({
+        "_raw": raw, "_amount": amount, "_basis": basis, "_raw_price": raw_price,
+        "_clean": ascii_digits(strip_space(raw)), "_stated": ascii_digits(strip_space(stated_text)),
+    })
+    parts, stated = package_parts(col("_clean")), published_price(col("_stated"))
+    rows = rows.withColumns({
+        "_units": parts["units"], "_quantity": parts["quantity"], "_unit": parts["unit"],
+        "_stated_amount": stated["amount"], "_stated_base": stated["base"],
+    })
+    rows = rows.withColumn("_total", (col("_quantity") * col("_units").cast("decimal(12,0)")).cast("decimal(36,9)"))
+    rows = rows.withColumn("_known", F.coalesce(col("_total") > 0, F.lit(False)))
+    rows = rows.withColumn("_calculable", col("_known") & (col("_basis") == "pack"))
+    rows = rows.withColumn(
+        "_calculated", F.when(col("_calculable"), unit_price(col("_amount"), col("_total"), col("_unit")))
+    )
+
+    def known(column: str) -> Column:
+        return F.when(col("_known"), col(column))
+
     package = F.struct(
-        F.nullif(raw, F.lit("")).alias("raw_text"),
-        parts["units"].alias("units_in_pack"),
-        parts["quantity"].alias("quantity_per_unit"),
-        unit.alias("quantity_unit"),
-        total.alias("total_quantity"),
-        F.when(known, "net").otherwise("unknown").alias("quantity_basis"),
-    ).cast(PACKAGE)
-
-    calculable = known & (basis == "pack")
-    calculated = F.when(calculable, unit_price(amount, total, unit))
+        F.nullif(col("_raw"), F.lit("")).alias("raw_text"),
+        known("_units").alias("units_in_pack"),
+        known("_quantity").alias("quantity_per_unit"),
+        known("_unit").alias("quantity_unit"),
+        known("_total").cast(QUANTITY).alias("total_quantity"),
+        F.when(col("_known"), "net").otherwise("unknown").alias("quantity_basis"),
+    )
     calculation = F.when(
-        calculable,
-        F.concat(euro_text(amount), F.lit(" € per "), raw, F.lit(" → "), calculated.cast("string"),
-                 F.lit(" €/"), unit_base(unit), F.lit(" (calcolato dall’app)")),
+        col("_calculable"),
+        F.concat(euro_text(col("_amount")), F.lit(" € per "), col("_raw"), F.lit(" → "),
+                 col("_calculated").cast("string"), F.lit(" €/"), unit_base(col("_unit")),
+                 F.lit(" (calcolato dall’app)")),
     )
-    stated = published_price(published if published is not None else _null("string"))
-    sold_by_base = basis.isin("kg", "l")
-    own_price = (amount.cast("decimal(16,0)") / 100).cast(UNIT_PRICE)
+    sold_by_base = col("_basis").isin("kg", "l")
+    own_price = (col("_amount").cast("decimal(16,0)") / 100).cast(UNIT_PRICE)
     price = F.struct(
         F.lit("EUR").alias("currency"),
-        amount.alias("advertised_amount_cents"),
-        basis.alias("basis"),
-        raw_price.alias("raw_text"),
-        F.when(sold_by_base, own_price).otherwise(stated["amount"]).alias("published_unit_price"),
-        calculated.alias("calculated_unit_price"),
-        F.when(sold_by_base, basis)
-        .otherwise(F.coalesce(stated["base"], F.when(calculable, unit_base(unit))))
+        col("_amount").cast("bigint").alias("advertised_amount_cents"),
+        col("_basis").alias("basis"),
+        col("_raw_price").alias("raw_text"),
+        F.when(sold_by_base, own_price)
+        .otherwise(F.when(col("_stated_base").isNotNull(), col("_stated_amount"))).alias("published_unit_price"),
+        col("_calculated").alias("calculated_unit_price"),
+        F.when(sold_by_base, col("_basis"))
+        .otherwise(F.coalesce("_stated_base", F.when(col("_calculable"), unit_base(col("_unit")))))
         .alias("unit_price_basis"),
         calculation.alias("calculation"),
         _null("bigint").alias("previous_amount_cents"),
-    ).cast(PRICE)
-    return package, price
+    )
+    return rows.withColumns({"package": package, "price": price}).drop(
+        "_raw", "_amount", "_basis", "_raw_price", "_clean", "_stated", "_units", "_quantity", "_unit",
+        "_stated_amount", "_stated_base", "_total", "_known", "_calculable", "_calculated",
+    )
 
 
 def undocumented_weight(package: Column) -> Column:
@@ -111,6 +132,13 @@ def conditions(**fields: Column | str | bool | None) -> Column:
     return F.struct(*values)
 
 
+def evidence(**fields: Column) -> Column:
+    """Evidence struct; what a profile does not record stays null."""
+    return F.struct(*[
+        fields.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in EVIDENCE.fields
+    ])
+
+
 def fill_conditions(new: Column, old: Column) -> Column:
     """Keep what an earlier version knew and the new one leaves open, field by field."""
     return F.struct(*[F.coalesce(new[f.name], old[f.name]).alias(f.name) for f in CONDITIONS.fields])

@@ -160,9 +160,9 @@ def ascii_digits(text: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _money_tables() -> tuple[str, str, dict[str, str]]:
-    """Characters whose NFKC form consists of characters a price may hold."""
+    """Characters whose NFKC form consists of characters a price may hold, and all digits."""
     allowed = set("0123456789.,€ ")
-    single, several = {}, {}
+    single, several = dict(zip(*_digit_tables())), {}
     for code in _CODE_POINTS:
         if 0xD800 <= code <= 0xDFFF:
             continue
@@ -173,15 +173,18 @@ def _money_tables() -> tuple[str, str, dict[str, str]]:
     return "".join(single), "".join(single.values()), several
 
 
-def compatible_price_text(text: Column) -> Column:
-    """NFKC restricted to the characters that can occur in a price."""
+def price_text(text: Column) -> Column:
+    """NFKC restricted to what can occur in a price, digits in ASCII, trimmed."""
     source, target, several = _money_tables()
     table = text_map(several)
-    wide = F.when(
-        F.rlike(text, F.lit(_char_class(several))),
-        F.array_join(F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], c)), ""),
-    ).otherwise(text)
-    return F.when(F.rlike(text, F.lit(NON_ASCII)), F.translate(wide, source, target)).otherwise(text)
+    expanded = F.array_join(
+        F.transform(F.split(text, ""), lambda c: F.coalesce(table[c], F.translate(c, source, target))), ""
+    )
+    return (
+        F.when(~F.rlike(text, F.lit(NON_ASCII)), F.trim(text))
+        .when(F.rlike(text, F.lit(_char_class(several))), strip_space(expanded))
+        .otherwise(strip_space(F.translate(text, source, target)))
+    )
 
 
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from promoforge.functions.text import normalized
-from promoforge.schemas import BENEFIT
+from promoforge.functions.offers import evidence
+from promoforge.schemas import BENEFIT, QUANTITY
 from promoforge.values import CATEGORIES
 
 NOW = datetime(1998, 6, 15, 12)
@@ -109,8 +110,8 @@ STATES_SQL = f"""{LISTINGS_SQL}, states AS (
     AND temporal_status <> 'expired')"""
 
 
-def as_catalog(flat: DataFrame, id_column: str = "listing_id") -> DataFrame:
-    """Flat listings in the shape of the catalog."""
+def as_catalog(flat: DataFrame, id_column: str = "listing_id", extra=()) -> DataFrame:
+    """Flat listings in the shape of the catalog, followed by ``extra`` columns."""
     stamp = F.timestamp_seconds("verified_s")
     product = ~F.col("is_voucher")
     validity = F.struct(
@@ -155,17 +156,20 @@ def as_catalog(flat: DataFrame, id_column: str = "listing_id") -> DataFrame:
         F.lit(None).cast("string").alias("original_category"), "category_id",
         F.lit("source-category").alias("category_rule_id"), F.lit("exact_mapping").alias("classification_level"),
         F.lit("6").alias("classification_version"), F.array().cast("array<string>").alias("tags"),
-        F.struct(F.col("raw_package").alias("raw_text")).alias("package"),
+        F.struct(
+            F.col("raw_package").alias("raw_text"), F.lit(None).cast("bigint").alias("units_in_pack"),
+            F.lit(None).cast(QUANTITY).alias("quantity_per_unit"), F.lit(None).cast("string").alias("quantity_unit"),
+            F.lit(None).cast(QUANTITY).alias("total_quantity"), F.lit("unknown").alias("quantity_basis"),
+        ).alias("package"),
         F.when(product, price).alias("price"), F.when(~product, benefit).alias("benefit"),
         conditions.alias("conditions"), validity.alias("validity"),
         F.struct(F.lit("store").alias("type"), F.col("source_id").alias("label"),
                  F.lit("verified_store_link").alias("applicability")).alias("scope"),
         "quality", F.array().cast("array<string>").alias("limitations"),
-        F.struct(
-            F.col("l_orderkey").cast("string").alias("capture_id"),
-            text("https://www.", F.col("retailer_id"), ".example/").alias("url"),
-            text("row ", F.col("l_linenumber")).alias("selector"),
-            F.col("amount_cents").cast("string").alias("raw_price"),
+        evidence(
+            capture_id=F.col("l_orderkey").cast("string"),
+            url=text("https://www.", F.col("retailer_id"), ".example/"),
+            selector=text("row ", F.col("l_linenumber")), raw_price=F.col("amount_cents").cast("string"),
         ).alias("evidence"),
         F.lit("1").alias("parser_version"),
         text("https://www.", F.col("retailer_id"), ".example/p/", F.col("l_partkey")).alias("source_url"),
@@ -173,6 +177,7 @@ def as_catalog(flat: DataFrame, id_column: str = "listing_id") -> DataFrame:
         F.lit(None).cast("timestamp").alias("published_at"),
         "withdrawn", F.lit(0).cast("bigint").alias("missing_count"),
         F.lit(None).cast("timestamp").alias("last_missing_at"),
+        *extra,
     )
 
 

@@ -16,7 +16,7 @@ from promoforge.schemas import OFFER, SCAN, SOURCE
 from promoforge.session import work_path
 from promoforge.sources.catalog import CatalogStore
 from promoforge.streaming.absence import absence_updates
-from promoforge.streaming.scans import BATCH, ingest
+from promoforge.streaming.scans import ingest
 
 LINES_SQL = f"""lines AS (
   SELECT 'src-' || o_custkey AS source_id, o_custkey, l_orderkey || '-' || l_linenumber AS id,
@@ -225,13 +225,13 @@ def catalog_revisions(spark, sf_dir):
 
 def write_batches(spark, sf_dir, inbox):
     """The same scans as files a stream picks up."""
-    fields = F.struct(*[F.col(f.name).cast(f.dataType) for f in OFFER.fields])
+    fields = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OFFER.fields])
     order = F.col("_p1") * 1_000_000_000 + F.col("_p2")
     for incoming, scan in two_scans(spark, sf_dir):
-        header = scan.select("source_id", F.struct(*[F.col(f.name).cast(f.dataType) for f in SCAN.fields]).alias("scan"))
+        header = scan.select("source_id", F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in SCAN.fields]).alias("scan"))
         offers = incoming.select("source_id", order.alias("pos"), fields.alias("offer"))
         header.join(offers, "source_id", "left").select(
-            "scan", "pos", F.col("offer").cast(BATCH["offer"].dataType).alias("offer")
+            "scan", "pos", F.when(F.col("pos").isNotNull(), F.col("offer")).alias("offer")
         ).write.mode("append").parquet(inbox)
 
 

@@ -175,10 +175,10 @@ def titled(spark, sf_dir):
 @query("classify_titles", classify_sql())
 def classify_titles(spark, sf_dir):
     """H7, H8: rule, source mapping or keyword, and literal dietary tags."""
-    decided = classify.classification(F.col("title"), F.col("original"), F.col("description"))
-    return titled(spark, sf_dir).withColumns(decided).select(
-        *KEYS, F.col("_category.category_id"), F.col("_category.category_rule_id").alias("rule_id"),
-        F.col("_category.classification_level").alias("level"),
+    rows = classify.with_classification(
+        titled(spark, sf_dir), F.col("title"), F.col("original"), F.col("description"))
+    return rows.select(
+        *KEYS, "category_id", F.col("category_rule_id").alias("rule_id"), F.col("classification_level").alias("level"),
         F.concat(F.array_join("tags", ";"), F.when(F.size("tags") > 0, ";").otherwise("")).alias("tags"),
     )
 

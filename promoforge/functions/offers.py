@@ -29,57 +29,57 @@ def with_package_and_price(
     col = F.col
     stated_text = _null("string") if published is None else published
     rows = rows.withColumns({
-        "_raw": raw, "_amount": amount, "_basis": basis, "_raw_price": raw_price,
-        "_clean": ascii_digits(strip_space(raw)), "_stated": ascii_digits(strip_space(stated_text)),
+        "_pp_raw": raw, "_pp_amount": amount, "_pp_basis": basis, "_pp_raw_price": raw_price,
+        "_pp_clean": ascii_digits(strip_space(raw)), "_pp_stated": ascii_digits(strip_space(stated_text)),
     })
-    parts, stated = package_parts(col("_clean")), published_price(col("_stated"))
+    parts, stated = package_parts(col("_pp_clean")), published_price(col("_pp_stated"))
     rows = rows.withColumns({
-        "_units": parts["units"], "_quantity": parts["quantity"], "_unit": parts["unit"],
-        "_stated_amount": stated["amount"], "_stated_base": stated["base"],
+        "_pp_units": parts["units"], "_pp_quantity": parts["quantity"], "_pp_unit": parts["unit"],
+        "_pp_stated_amount": stated["amount"], "_pp_stated_base": stated["base"],
     })
-    rows = rows.withColumn("_total", (col("_quantity") * col("_units").cast("decimal(12,0)")).cast("decimal(36,9)"))
-    rows = rows.withColumn("_known", F.coalesce(col("_total") > 0, F.lit(False)))
-    rows = rows.withColumn("_calculable", col("_known") & (col("_basis") == "pack"))
+    rows = rows.withColumn("_pp_total", (col("_pp_quantity") * col("_pp_units").cast("decimal(12,0)")).cast("decimal(36,9)"))
+    rows = rows.withColumn("_pp_known", F.coalesce(col("_pp_total") > 0, F.lit(False)))
+    rows = rows.withColumn("_pp_calculable", col("_pp_known") & (col("_pp_basis") == "pack"))
     rows = rows.withColumn(
-        "_calculated", F.when(col("_calculable"), unit_price(col("_amount"), col("_total"), col("_unit")))
+        "_pp_calculated", F.when(col("_pp_calculable"), unit_price(col("_pp_amount"), col("_pp_total"), col("_pp_unit")))
     )
 
     def known(column: str) -> Column:
-        return F.when(col("_known"), col(column))
+        return F.when(col("_pp_known"), col(column))
 
     package = F.struct(
-        F.nullif(col("_raw"), F.lit("")).alias("raw_text"),
-        known("_units").alias("units_in_pack"),
-        known("_quantity").alias("quantity_per_unit"),
-        known("_unit").alias("quantity_unit"),
-        known("_total").cast(QUANTITY).alias("total_quantity"),
-        F.when(col("_known"), "net").otherwise("unknown").alias("quantity_basis"),
+        F.nullif(col("_pp_raw"), F.lit("")).alias("raw_text"),
+        known("_pp_units").alias("units_in_pack"),
+        known("_pp_quantity").alias("quantity_per_unit"),
+        known("_pp_unit").alias("quantity_unit"),
+        known("_pp_total").cast(QUANTITY).alias("total_quantity"),
+        F.when(col("_pp_known"), "net").otherwise("unknown").alias("quantity_basis"),
     )
     calculation = F.when(
-        col("_calculable"),
-        F.concat(euro_text(col("_amount")), F.lit(" € per "), col("_raw"), F.lit(" → "),
-                 col("_calculated").cast("string"), F.lit(" €/"), unit_base(col("_unit")),
+        col("_pp_calculable"),
+        F.concat(euro_text(col("_pp_amount")), F.lit(" € per "), col("_pp_raw"), F.lit(" → "),
+                 col("_pp_calculated").cast("string"), F.lit(" €/"), unit_base(col("_pp_unit")),
                  F.lit(" (calcolato dall’app)")),
     )
-    sold_by_base = col("_basis").isin("kg", "l")
-    own_price = (col("_amount").cast("decimal(16,0)") / 100).cast(UNIT_PRICE)
+    sold_by_base = col("_pp_basis").isin("kg", "l")
+    own_price = (col("_pp_amount").cast("decimal(16,0)") / 100).cast(UNIT_PRICE)
     price = F.struct(
         F.lit("EUR").alias("currency"),
-        col("_amount").cast("bigint").alias("advertised_amount_cents"),
-        col("_basis").alias("basis"),
-        col("_raw_price").alias("raw_text"),
+        col("_pp_amount").cast("bigint").alias("advertised_amount_cents"),
+        col("_pp_basis").alias("basis"),
+        col("_pp_raw_price").alias("raw_text"),
         F.when(sold_by_base, own_price)
-        .otherwise(F.when(col("_stated_base").isNotNull(), col("_stated_amount"))).alias("published_unit_price"),
-        col("_calculated").alias("calculated_unit_price"),
-        F.when(sold_by_base, col("_basis"))
-        .otherwise(F.coalesce("_stated_base", F.when(col("_calculable"), unit_base(col("_unit")))))
+        .otherwise(F.when(col("_pp_stated_base").isNotNull(), col("_pp_stated_amount"))).alias("published_unit_price"),
+        col("_pp_calculated").alias("calculated_unit_price"),
+        F.when(sold_by_base, col("_pp_basis"))
+        .otherwise(F.coalesce("_pp_stated_base", F.when(col("_pp_calculable"), unit_base(col("_pp_unit")))))
         .alias("unit_price_basis"),
         calculation.alias("calculation"),
         _null("bigint").alias("previous_amount_cents"),
     )
     return rows.withColumns({"package": package, "price": price}).drop(
-        "_raw", "_amount", "_basis", "_raw_price", "_clean", "_stated", "_units", "_quantity", "_unit",
-        "_stated_amount", "_stated_base", "_total", "_known", "_calculable", "_calculated",
+        "_pp_raw", "_pp_amount", "_pp_basis", "_pp_raw_price", "_pp_clean", "_pp_stated", "_pp_units", "_pp_quantity", "_pp_unit",
+        "_pp_stated_amount", "_pp_stated_base", "_pp_total", "_pp_known", "_pp_calculable", "_pp_calculated",
     )
 
 

@@ -16,6 +16,8 @@ RUNTIME_CONF = {
     # A hot source or page is split at run time even where an aggregate follows the join.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Page bodies travel to Python in Arrow batches; keep a batch to a few hundred pages.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
 }
 
 

@@ -19,7 +19,7 @@ PUBLISHED_PATTERN = rf"^(?:1{SPACE}*(kg|l){SPACE}*={SPACE}*)?([0-9]+[.,][0-9]+){
 
 def money(text: Column) -> Column:
     """Cents of a printed euro amount; null for null and for anything not fully understood."""
-    number = F.regexp_extract(price_text(text), PRICE_PATTERN, 1)
+    number = F.nullif(F.regexp_extract(price_text(text), PRICE_PATTERN, 1), F.lit(""))
     plain = F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
     return (plain.try_cast("decimal(18,2)") * 100).cast("bigint")
 
@@ -82,4 +82,4 @@ def published_price(clean: Column) -> dict[str, Column]:
         F.lit(""),
     )
     amount = F.replace(F.regexp_extract(clean, PUBLISHED_PATTERN, 2), F.lit(","), F.lit("."))
-    return {"amount": F.when(base.isNotNull(), amount.try_cast(UNIT_PRICE)), "base": base}
+    return {"amount": F.when(base.isNotNull(), F.nullif(amount, F.lit("")).try_cast(UNIT_PRICE)), "base": base}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 # What Python's str.split() treats as white space.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0  -     　]"
 NON_ASCII = r"[^\x00-\x7f]"
+# Runs of ASCII white space that are not a single blank already.
+ASCII_RUNS = r"[\x09-\x0d\x1c-\x1f][\x09-\x0d\x1c-\x20]*| [\x09-\x0d\x1c-\x20]+"
 _HANGUL = range(0xAC00, 0xD7A4)
 _CODE_POINTS = range(0x80, 0x30000)
 
@@ -27,7 +30,7 @@ def _fold_tables() -> tuple[str, str, dict[str, str]]:
     Returns the two strings of a ``translate`` (characters folding to nothing come last, with
     no counterpart) and the characters that fold to several characters.
     """
-    single, dropped, several = {}, [], {}
+    single, dropped, several = dict.fromkeys("\x85\u1680\u2028\u2029", " "), [], {}
     for upper, lower in zip("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"):
         single[upper] = lower
     for code in _CODE_POINTS:
@@ -98,6 +101,21 @@ def strip_space(text: Column) -> Column:
     return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
 
 
+@lru_cache(maxsize=1)
+def _common_tables() -> tuple[dict[str, str], str]:
+    """Frequent characters to replace up front, and the class of what is then safe to translate.
+
+    Only characters whose expansion is final may be replaced first. The class covers the Latin
+    and punctuation blocks in a handful of ranges, so testing a text against it is cheap.
+    """
+    source, _, several = _fold_tables()
+    affected = set(source) | set(several)
+    common = {c: several[c] for c in "ßẞ…½¼¾ﬁﬂ" if c in several and not affected & set(several[c])}
+    blocks = [*range(0x80), *range(0xA0, 0x250), *range(0x2000, 0x2070), 0x20AC]
+    safe = [chr(c) for c in blocks if chr(c) not in several]
+    return common, "[^" + _char_class(safe)[1:]
+
+
 def normalized(text: Column) -> Column:
     """Case-folded, compatibility-decomposed text without marks and with single blanks.
 
@@ -105,36 +123,32 @@ def normalized(text: Column) -> Column:
     with ligatures, fractions or Hangul a per-character expansion.
     """
     source, target, several = _fold_tables()
+    common, unsafe = _common_tables()
     rare = _char_class(set(several) | {chr(c) for c in _HANGUL})
-    folded = (
-        F.when(~F.rlike(text, F.lit(NON_ASCII)), F.lower(text))
-        .when(F.rlike(text, F.lit(rare)), _expand(text, source, target, several))
-        .otherwise(F.translate(text, source, target))
+    plain = text
+    for char, expansion in common.items():
+        plain = F.replace(plain, F.lit(char), F.lit(expansion))
+    needs_expansion = F.rlike(plain, F.lit(unsafe)) & F.rlike(plain, F.lit(rare))
+    runs = F.lit(ASCII_RUNS)
+    return (
+        F.when(~F.rlike(text, F.lit(NON_ASCII)), F.trim(F.regexp_replace(F.lower(text), runs, F.lit(" "))))
+        .when(needs_expansion, squeeze(_expand(text, source, target, several)))
+        .otherwise(F.trim(F.regexp_replace(F.translate(plain, source, target), runs, F.lit(" "))))
     )
-    return squeeze(folded)
-
-
-def words(text: Column) -> Column:
-    """Words of a normalised text; no word for an empty text."""
-    return F.filter(F.split(text, " "), lambda w: w != "")
 
 
 def matches_tokens(searchable: Column, tokens: list[str]) -> Column:
     """Every token equals a word of the normalised text, or (3+ characters) starts one.
 
-    The tokens are known when the plan is built, so this is a conjunction of ``exists``.
+    Words are separated by single blanks, so one pattern with a look-ahead per token decides
+    it: the text is normalised once and never split into words.
     """
-    bag = words(searchable)
-
-    def found(token: str) -> Column:
-        if len(token) < 3:
-            return F.array_contains(bag, token)
-        return F.exists(bag, lambda w: F.startswith(w, F.lit(token)))
+    def ahead(token: str) -> str:
+        quoted = re.sub(r"([^0-9a-z ])", r"\\\1", " " + token)
+        return f"(?=.*{quoted})" if len(token) >= 3 else f"(?=.*{quoted} )"
 
-    condition = F.lit(True)
-    for token in tokens:
-        condition = condition & found(token)
-    return condition
+    padded = F.concat(F.lit(" "), searchable, F.lit(" "))
+    return F.rlike(padded, F.lit("(?s)^" + "".join(map(ahead, tokens))))
 
 
 def normalized_literal(text: str) -> str:

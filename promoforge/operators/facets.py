@@ -39,13 +39,7 @@ def facet_counts(rows: DataFrame, validity: str = "current", category_ids=()) ->
             )
         )
     )
-    spark = rows.sparkSession
-    zeros = [("category", c, 0) for c, _ in CATEGORIES]
-    zeros += [("period", "current", 0), ("period", "future", 0), ("total", "all", 0)]
-    zero_rows = spark.range(1).select(
-        F.inline(F.array(*[
-            F.struct(F.lit(f).alias("facet"), F.lit(k).alias("key"), F.lit(n).cast("bigint").alias("n"))
-            for f, k, n in zeros
-        ]))
-    )
+    zeros = [("category", c) for c, _ in CATEGORIES] + [("period", "current"), ("period", "future"), ("total", "all")]
+    literal = ", ".join(f"named_struct('facet', '{f}', 'key', '{k}', 'n', 0L)" for f, k in zeros)
+    zero_rows = rows.sparkSession.range(1, numPartitions=1).select(F.expr(f"inline(array({literal}))"))
     return cells.unionByName(zero_rows).groupBy("facet", "key").agg(F.sum("n").alias("n"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from promoforge.functions.dates import freshness, temporal_status
 from promoforge.functions.text import matches_tokens, normalized
-from promoforge.values import PRODUCT_TYPES
+from promoforge.values import HIDDEN_SECONDS, PRODUCT_TYPES
 
 TRISTATE = {"required": True, "not_required": False, "unknown": None}
 
@@ -20,13 +20,17 @@ def with_time_states(offers: DataFrame, now: Column) -> DataFrame:
     })
 
 
-def is_visible() -> Column:
-    """Not withdrawn, not quarantined, recently verified, not expired."""
+def visible_at(now: Column) -> Column:
+    """Not withdrawn, not quarantined, verified within 48 hours, not over.
+
+    Says "not hidden and not expired" on the stored columns, so it reaches the Parquet scan.
+    """
+    end = F.col("validity.end_at_exclusive")
     return (
         ~F.col("withdrawn")
         & (F.col("quality") != "quarantined")
-        & (F.col("freshness") != "hidden")
-        & (F.col("temporal_status") != "expired")
+        & (F.col("last_verified_at") >= now - F.expr(f"INTERVAL {HIDDEN_SECONDS} SECONDS"))
+        & (end.isNull() | (end > now))
     )
 
 
@@ -96,8 +100,8 @@ def find_offer(catalog: DataFrame, offer_id: Column | str, now: Column) -> DataF
 
 def current_vouchers(catalog: DataFrame, now: Column) -> DataFrame:
     """Vouchers that can be used now, first to end first; the earning window may be over."""
-    rows = public_projection(catalog.where(is_voucher()), now).where(
-        is_visible() & (F.col("temporal_status") != "future")
+    rows = public_projection(catalog.where(is_voucher() & visible_at(now)), now).where(
+        F.col("temporal_status") != "future"
     )
     ended = F.col("benefit.earning_validity.end_at_exclusive") <= now
     return rows.withColumn("earning_ended", F.coalesce(ended, F.lit(False)))

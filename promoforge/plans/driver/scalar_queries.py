@@ -223,12 +223,12 @@ def period_parse(spark, sf_dir):
     heading = text("Offerte valide Dal ", F.dayofmonth(start), " ", start_month, " ", same_or_next, "al ",
                    F.dayofmonth(end), "  ", end_month, " ", F.year(end))
     rows = table(spark, sf_dir, "orders").withColumn("heading", heading)
-    period = periods.heading_period(F.col("heading"))
+    rows = periods.with_heading_period(rows, "heading", "start", "end")
     # Without a known end month the start year cannot be inferred, only read.
-    read = F.when((key % 7 > 0) | (key % 2 == 0), period["start"]).otherwise(F.to_date("o_orderdate"))
+    read = F.when((key % 7 > 0) | (key % 2 == 0), F.col("start")).otherwise(F.to_date("o_orderdate"))
     return rows.select(
         "o_orderkey", F.when(key % 13 > 0, read).cast("string").alias("start_day"),
-        period["end"].cast("string").alias("end_day"))
+        F.col("end").cast("string").alias("end_day"))
 
 
 @query("full_date_period", """SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN strftime(o_orderdate, '%Y-%m-%d') END AS start_day,

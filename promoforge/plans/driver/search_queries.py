@@ -33,7 +33,7 @@ def temporal_freshness(spark, sf_dir):
 SELECT category_id, period, is_voucher, count(*) AS n FROM visible GROUP BY ALL""")
 def visible_products(spark, sf_dir):
     """Visible rows split into products and vouchers."""
-    rows = P.with_time_states(catalog(spark, sf_dir), now()).where(P.is_visible())
+    rows = P.with_time_states(catalog(spark, sf_dir).where(P.visible_at(now())), now())
     return rows.groupBy(
         "category_id", P.period_of(F.col("temporal_status")).alias("period"), P.is_voucher().alias("is_voucher")
     ).agg(F.count(F.lit(1)).alias("n"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from promoforge.functions.text import normalized
 from promoforge.functions.offers import evidence
 from promoforge.schemas import BENEFIT, QUANTITY
+from promoforge.session import spread
 from promoforge.values import CATEGORIES
 
 NOW = datetime(1998, 6, 15, 12)
@@ -17,7 +18,7 @@ NOW_SQL = "TIMESTAMP '1998-06-15 12:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def now():

@@ -75,7 +75,7 @@ def candidates(catalog: DataFrame, request: SearchRequest) -> DataFrame:
     Cheap conditions on stored columns come first and reach the scan; keyword matching is last.
     """
     condition = F.lit(True) if request.targets is None else F.col("source_id").isin(*request.targets)
-    condition = condition & ~F.col("withdrawn") & (F.col("quality") != "quarantined") & P.is_product()
+    condition = condition & P.visible_at(request.now_column) & P.is_product()
     if request.require_live:
         condition = condition & (F.col("data_origin") == "official_live")
     if request.retailer_ids:
@@ -83,7 +83,7 @@ def candidates(catalog: DataFrame, request: SearchRequest) -> DataFrame:
     condition = condition & P.loyalty_is(request.loyalty) & P.minimum_quantity_is(request.minimum_quantity)
     if request.sort == "price":
         condition = condition & P.price_is_comparable(request.price_basis)
-    rows = P.with_time_states(catalog.where(condition), request.now_column).where(P.is_visible())
+    rows = P.with_time_states(catalog.where(condition), request.now_column)
     return rows.where(P.keyword_match(request.tokens)) if request.tokens else rows
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings only: they can be applied to a session somebody else started.
 RUNTIME_CONF = {
@@ -18,13 +18,16 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Page bodies travel to Python in Arrow batches; keep a batch to a few hundred pages.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    # Recording the Python call site of every expression costs more than planning a search.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings; cluster sizing stays with the cluster."""
     for key, value in RUNTIME_CONF.items():
-        spark.conf.set(key, value)
+        if spark.conf.isModifiable(key):
+            spark.conf.set(key, value)
     return spark
 
 
@@ -47,3 +50,17 @@ def shared_dir(spark: SparkSession) -> str:
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan over at least as many partitions as there are cores.
+
+    One large file with a single row group would otherwise be worked on by one core. Where the
+    scan already has enough partitions, as at scale, nothing is shuffled.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = scan.inputFiles()
+    if len(files) >= cores or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores)

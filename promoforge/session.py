@@ -52,6 +52,17 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def written_once(rows: DataFrame, name: str) -> DataFrame:
+    """Rows stored in the shared folder and read from there.
+
+    For results of costly work that several plans use: it is done once, survives the loss of
+    an executor, and each user reads only the columns it needs.
+    """
+    path = work_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A file scan over at least as many partitions as there are cores.
 

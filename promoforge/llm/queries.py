@@ -71,3 +71,11 @@ def op2_simhash_planes(spark, sf_dir):
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op4_line_patience")
+def op4_line_patience(spark, sf_dir):
+    from promoforge.llm.line_patience import dedup_lines
+
+    found = dedup_lines(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "text", "n_lines", "n_removed", "copy")

@@ -79,3 +79,12 @@ def op4_line_patience(spark, sf_dir):
 
     found = dedup_lines(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "text", "n_lines", "n_removed", "copy")
+
+
+@query("op3_suffix_induction")
+def op3_suffix_induction(spark, sf_dir):
+    from promoforge.llm.suffix_induction import remove_repeats
+
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")

@@ -88,3 +88,10 @@ def op3_suffix_induction(spark, sf_dir):
     found = remove_repeats(table(spark, sf_dir, "documents"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query("op5_unigram_pieces")
+def op5_unigram_pieces(spark, sf_dir):
+    from promoforge.llm.unigram_pieces import encode_texts
+
+    return encode_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")

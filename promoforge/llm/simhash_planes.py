@@ -250,5 +250,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = near_duplicates(docs, id_col, text_col)
     head, key = fresh("head"), fresh("key")
     heads = found.where("id = component").select(F.col("id").alias(head), F.col("key").alias(key)).distinct()
-    kept = docs.where(docs[id_col].isNotNull()).dropDuplicates().join(heads, (docs[id_col].cast("long") == heads[head]) & (text_key(docs[text_col]) == heads[key]), "left_semi")
+    named = docs.where(docs[id_col].isNotNull())
+    ids = found.where("id is not null").agg(F.count("id").alias("n"), F.count_distinct("id").alias("ids")).first()
+    kept = (named if ids.n == ids.ids else named.dropDuplicates()).join(heads, (docs[id_col].cast("long") == heads[head]) & (text_key(docs[text_col]) == heads[key]), "left_semi")
     return kept.unionByName(docs.where(docs[id_col].isNull()))

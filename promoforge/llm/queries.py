@@ -95,3 +95,14 @@ def op5_unigram_pieces(spark, sf_dir):
     from promoforge.llm.unigram_pieces import encode_texts
 
     return encode_texts(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query("op1_toxicity_lexicon")
+def op1_toxicity_lexicon(spark, sf_dir):
+    from promoforge.llm.toxicity_lexicon import THRESHOLD, learn_toxicity
+
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
+    model = learn_toxicity(docs, labels, ~held_out)
+    return model.score(docs).select(F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
+                                    "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))

@@ -106,3 +106,18 @@ def op1_toxicity_lexicon(spark, sf_dir):
     model = learn_toxicity(docs, labels, ~held_out)
     return model.score(docs).select(F.col("id").alias("doc_id"), F.coalesce(F.crc32(F.col("id").cast("string")) % 3 == 1, F.lit(False)).alias("held_out"),
                                     "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), F.size("hits").alias("n_hits"))
+
+
+@query("op7_pii_anchors")
+def op7_pii_anchors(spark, sf_dir):
+    from promoforge.llm.pii_anchors import BASE_KINDS, personal_data
+
+    def said(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of_kind(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    return personal_data(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), *[of_kind(k) for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))

@@ -121,3 +121,11 @@ def op7_pii_anchors(spark, sf_dir):
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
     return personal_data(table(spark, sf_dir, "documents")).select(
         F.col("id").alias("doc_id"), *[of_kind(k) for k in BASE_KINDS], F.sha2(said(base), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
+
+
+@query("op8_html_crf")
+def op8_html_crf(spark, sf_dir):
+    from promoforge.llm.common import code_points
+    from promoforge.llm.html_crf import extract_main
+
+    return extract_main(table(spark, sf_dir, "pages"), keep=("url",)).select(F.col("id").alias("page_id"), "url", "text", code_points(F.col("text")).alias("n_chars"))

@@ -129,3 +129,51 @@ def op8_html_crf(spark, sf_dir):
     from promoforge.llm.html_crf import extract_main
 
     return extract_main(table(spark, sf_dir, "pages"), keep=("url",)).select(F.col("id").alias("page_id"), "url", "text", code_points(F.col("text")).alias("n_chars"))
+
+
+# Verdict, host and path of the rules of op6.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+OP6_SQL = r"""
+WITH RECURSIVE rules(verdict, host, path) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), refs AS (
+  SELECT url AS src, replace(unnest([
+      regexp_extract(coalesce(html, ''), '(?i)<link\s[^>]*rel\s*=\s*["'']?canonical["'']?[^>]*?\shref\s*=\s*["'']?([^"''\s>]+)', 1),
+      regexp_extract(coalesce(html, ''), '(?i)<link\s[^>]*href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*?\srel\s*=\s*["'']?canonical', 1),
+      regexp_extract(coalesce(html, ''), '(?i)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*?url\s*=\s*["'']?([^"''\s>]+)', 1)]), '&amp;', '&') AS ref FROM pages WHERE url IS NOT NULL
+), links AS (
+  SELECT src, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN ref
+                   WHEN ref LIKE '//%' THEN regexp_extract(src, '^([^:]*)://', 1) || ':' || ref
+                   WHEN ref LIKE '/%' THEN regexp_extract(src, '^([^:]*://[^/?#]*)', 1) || ref END AS dst FROM refs WHERE ref <> ''
+), urls AS (
+  SELECT url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|ref|fbclid|gclid)=')), '&') AS query
+  FROM (SELECT url, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
+        FROM (SELECT url FROM pages UNION SELECT src FROM links UNION SELECT dst FROM links WHERE dst IS NOT NULL))
+), keyed AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS key FROM urls
+), ruled AS (
+  SELECT url, arg_max(rule, size) AS rule, arg_max(verdict, size) AS verdict FROM (
+    SELECT k.url, r.host || r.path AS rule, length(r.host || r.path) AS size, r.verdict
+    FROM keyed k JOIN rules r ON (k.host = r.host OR ends_with(k.host, '.' || r.host)) AND starts_with(k.path, r.path)) GROUP BY url
+), edges AS (
+  SELECT a.key AS x, b.key AS y FROM links l JOIN keyed a ON a.url = l.src JOIN keyed b ON b.url = l.dst WHERE a.key <> b.key
+), both_ways AS (
+  SELECT x, y FROM edges UNION SELECT y, x FROM edges
+), reach(x, y) AS (
+  SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON r.y = b.x
+), placed AS (
+  SELECT url, least(key, coalesce((SELECT min(y) FROM reach WHERE x = key), key)) AS component FROM keyed WHERE key IS NOT NULL
+), spread AS (
+  SELECT component, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' ELSE 'block' END AS carried FROM placed JOIN ruled USING (url) GROUP BY component
+)
+SELECT p.page_id, k.host, k.path, r.rule, coalesce(r.verdict, s.carried, 'allow') AS verdict
+FROM pages p JOIN keyed k ON k.url IS NOT DISTINCT FROM p.url LEFT JOIN placed c ON c.url = p.url LEFT JOIN ruled r ON r.url = p.url LEFT JOIN spread s ON s.component = c.component
+"""
+
+
+@query("op6_redirects", OP6_SQL)
+def op6_redirects(spark, sf_dir):
+    from promoforge.llm.redirects import judge_urls, rules_table
+
+    return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES)).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")

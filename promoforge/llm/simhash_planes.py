@@ -234,11 +234,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     read = written_once(text.mapInArrow(_fingerprints, "id long, key binary, print long"), "simhash-prints")
     heads = written_once(read.groupBy("print").agg(F.min("id").alias("head")), "simhash-heads")
     edges = written_once(link_fingerprints(heads.select("print")).distinct(), "simhash-edges")
-    linked = edges.join(heads.select(F.col("print").alias("a"), F.col("head").alias("ha")), "a").join(
-        heads.select(F.col("print").alias("b"), F.col("head").alias("hb")), "b")
-    # Fingerprints that only rows without id have link nothing to an id; they stay apart.
-    groups = connected_components(linked.where("ha is not null and hb is not null"), "ha", "hb")
-    named = heads.join(groups, heads["head"] == groups["node"], "left").select("print", F.coalesce("component", "head").alias("component"))
+    groups = connected_components(edges)
+    placed = heads.join(groups, heads["print"] == groups["node"], "left").select("print", "head", F.coalesce("component", "print").alias("group"))
+    placed = written_once(placed, "simhash-groups")
+    least = placed.groupBy("group").agg(F.min("head").alias("component"))
+    named = placed.join(least, "group").select("print", "component")
     return read.join(named, "print").select("id", "key", "print", "component")
 
 

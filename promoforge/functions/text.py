@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import lru_cache
+from html.entities import html5
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -201,15 +202,47 @@ def price_text(text: Column) -> Column:
     )
 
 
-ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#34;", '"'), ("&#39;", "'"),
-            ("&apos;", "'"), ("&nbsp;", "\xa0"), ("&euro;", "€"), ("&amp;", "&"))
+_REFERENCE = "&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+# The longest name that is also read without its semicolon.
+_OPEN_NAMES = {k: v for k, v in html5.items() if not k.endswith(";")}
+_LONGEST_OPEN = max(map(len, _OPEN_NAMES))
+
+
+def _windows_1252() -> dict[str, str]:
+    """Numbers 128-159 are read as that code page; those it leaves open are controls."""
+    return {str(n): bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+
+
+def _numbered(code: Column) -> Column:
+    """Character of a number; the replacement character for what is none, nothing for non-characters and most controls."""
+    plain = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    control = code.between(1, 31) & ~code.isin(9, 10, 12, 13) | (code == 127) | code.between(0xFDD0, 0xFDEF) | (code % 65536 >= 65534)
+    return (F.when((code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").when(code.between(0x80, 0x9F), text_map(_windows_1252())[code.cast("string")])
+            .when(control, "").otherwise(plain))
+
+
+def _reference(token: Column) -> Column:
+    """One character reference decoded; unknown names stay as they are, known beginnings are decoded."""
+    name = F.substring(token, F.lit(2), F.length(token))
+    closed = text_map({k.removesuffix(";"): v for k, v in html5.items() if k.endswith(";")})
+    opened, tail = text_map(_OPEN_NAMES), F.lit(None).cast("string")
+    for n in range(2, _LONGEST_OPEN + 1):
+        # The longest known beginning is tried last and so wins.
+        known = opened[F.when(F.length(name) >= n, F.left(name, F.lit(n))).otherwise("")]
+        tail = F.when(known.isNotNull(), F.concat(known, F.substring(name, F.lit(n + 1), F.length(name)))).otherwise(tail)
+    digits = F.rtrim(name, F.lit(";"))
+    code = F.when(F.lower(F.left(digits, F.lit(2))) == "#x", F.conv(F.right(digits, F.length(digits) - 2), 16, 10)).otherwise(F.right(digits, F.length(digits) - 1))
+    number = F.coalesce(code.try_cast("decimal(38,0)"), F.lit(0x110000).cast("decimal(38,0)"))
+    number = F.least(number, F.lit(0x110000).cast("decimal(38,0)")).cast("int")
+    whole = F.when(F.endswith(name, F.lit(";")), closed[F.rtrim(name, F.lit(";"))])
+    return F.when(F.startswith(name, F.lit("#")), _numbered(number)).otherwise(F.coalesce(whole, tail, token))
 
 
 def unescape(text: Column) -> Column:
-    """Decode the entities that attribute values and embedded texts carry; ``&amp;`` last."""
-    for entity, char in ENTITIES:
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    """Decode every named and numbered character reference, in one pass."""
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s){_REFERENCE}|&|[^&]+"), F.lit(0))
+    decoded = F.array_join(F.transform(tokens, lambda t: F.when(F.rlike(t, F.lit("^" + _REFERENCE)), _reference(t)).otherwise(t)), "")
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def markup_text(html: Column) -> Column:

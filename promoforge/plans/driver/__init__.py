@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("search_queries", "scalar_queries", "reconcile_queries", "report_queries", "extraction_queries", "card_queries", "leaflet_queries", "snapshot_queries")
+MODULES = ("search_queries", "scalar_queries", "reconcile_queries", "report_queries", "extraction_queries", "card_queries", "leaflet_queries", "snapshot_queries", "reading_queries")
 
 
 def _load():

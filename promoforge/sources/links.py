@@ -18,20 +18,35 @@ def visible_markup(html: Column) -> Column:
     return F.regexp_replace(html, _HIDDEN, " ")
 
 
+def without_dots(url: Column) -> Column:
+    """An absolute URL with the dot segments of its path removed, however many there are."""
+    origin = F.regexp_extract(url, _ORIGIN, 1)
+    path = F.regexp_extract(url, _ORIGIN + "([^?#]*)", 2)
+    rest = F.regexp_extract(url, _ORIGIN + "[^?#]*(.*)$", 2)
+    segments = F.split(F.substring(path, F.lit(2), F.length(path)), "/", -1)
+
+    def step(kept: Column, segment: Column) -> Column:
+        return (F.when(segment == ".", kept).when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+                .otherwise(F.array_append(kept, segment)))
+
+    # A dot segment at the end leaves a folder.
+    closed = F.when(F.element_at(segments, -1).isin(".", ".."), F.concat(segments, F.array(F.lit("")))).otherwise(segments)
+    folded = F.aggregate(closed, F.array().cast("array<string>"), step)
+    return F.when(F.rlike(path, F.lit(r"(?:^|/)\.\.?(?:/|$)")), F.concat(origin, F.lit("/"), F.array_join(folded, "/"), rest)).otherwise(url)
+
+
 def resolve(base: Column, href: Column) -> Column:
-    """Absolute URL of a reference, with dot segments removed from relative paths."""
+    """Absolute URL of a reference, with dot segments removed from its path."""
     origin = F.regexp_extract(base, _ORIGIN, 1)
     page = F.regexp_replace(base, r"[?#].*$", "")
     folder = F.when(F.rlike(page, F.lit(_ORIGIN + "/")), F.regexp_replace(page, "/[^/]*$", "/")).otherwise(
         F.concat(page, F.lit("/"))
     )
-    joined = F.concat(folder, href)
-    for _ in range(4):
-        joined = F.regexp_replace(joined, r"/\./|(?<=[^:/])/(?!\.\.?/)[^/?#]+/\.\./", "/")
+    joined = without_dots(F.concat(folder, href))
     return (
         F.when(F.rlike(href, F.lit("^[a-zA-Z][a-zA-Z0-9+.-]*:")), href)
         .when(F.startswith(href, F.lit("//")), F.concat(F.regexp_extract(base, "^([^:]+:)", 1), href))
-        .when(F.startswith(href, F.lit("/")), F.concat(origin, href))
+        .when(F.startswith(href, F.lit("/")), without_dots(F.concat(origin, href)))
         .when(href == "", page)
         .when(F.startswith(href, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), href))
         .when(F.startswith(href, F.lit("?")), F.concat(page, href))

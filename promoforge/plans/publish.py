@@ -15,13 +15,13 @@ def publish(
     store: CatalogStore, incoming: DataFrame, scans: DataFrame, position: Sequence[Column],
     manifests: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Commit the next revision from at most one scan per source; returns the scan metrics.
+    """Commit the next revision; returns the scan metrics, which the revision holds as well.
 
-    Only the buckets of scanned sources are read and rewritten. Superseded scans change
+    Of several scans of one source the newest counts and the offers are taken to be its. Only the buckets of scanned sources are read and rewritten. Superseded scans change
     nothing; if none is left there is no new revision.
     """
     sources = store.read_sources()
-    allowed = R.fresh_scans(scans, sources)
+    allowed = R.fresh_scans(R.newest_scans(scans), sources)
     touched = {r.bucket for r in allowed.select(store.bucket_column().alias("bucket")).distinct().collect()}
     if not touched:
         return None
@@ -31,9 +31,8 @@ def publish(
     scanned = R.verdicts(allowed, copies, catalog).persist()
     try:
         offers = R.next_catalog(catalog, R.accepted_offers(copies), scanned)
-        store.commit(offers, R.next_sources(sources, scanned, manifests), touched)
         metrics = R.scan_metrics(scanned)
-        metrics.write.mode("append").parquet(f"{store.path}/scan_metrics")
+        store.commit(offers, R.next_sources(sources, scanned, manifests), touched, metrics)
         return metrics
     finally:
         copies.unpersist()

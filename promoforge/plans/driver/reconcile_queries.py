@@ -13,7 +13,7 @@ from promoforge.plans.driver.registry import query
 from promoforge.plans.driver.views import NOW_SQL, as_catalog, now, table, text
 from promoforge.plans.publish import publish
 from promoforge.schemas import OFFER, SCAN, SOURCE
-from promoforge.session import work_path
+from promoforge.session import work_path, written_once
 from promoforge.sources.catalog import CatalogStore
 from promoforge.streaming.absence import absence_updates
 from promoforge.streaming.scans import ingest
@@ -156,7 +156,8 @@ def stored_before(spark, sf_dir):
 
 def one_round(spark, sf_dir):
     incoming = lines(spark, sf_dir).where(F.col("_status") == "O")
-    return R.reconcile(stored_before(spark, sf_dir), incoming, scans(spark, sf_dir), empty(spark, SOURCE), last_first("_p1", "_p2"))
+    # The stored catalog is a table that both the verdicts and the join read.
+    return R.reconcile(written_once(stored_before(spark, sf_dir), "stored"), incoming, scans(spark, sf_dir), empty(spark, SOURCE), last_first("_p1", "_p2"))
 
 
 @query("reconcile_revision", f"""WITH {LINES_SQL}, {OLD_SQL}, {round_sql('old', "l_linestatus = 'O'", 'nxt', NOW_S)}
@@ -297,7 +298,7 @@ def absence_counter_dense(spark, sf_dir):
 
 @query("stream_absence", ABSENCE_SQL.format(key=USER_KEY))
 def stream_absence(spark, sf_dir):
-    """The same counter as stream state over ten files in time order; the last update per key."""
+    """The same counter as stream state over three files in time order; the last update per key."""
     folder = work_path(spark, "sightings")
     rows = sightings(spark, sf_dir)
     bounds = table(spark, sf_dir, "events").agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()

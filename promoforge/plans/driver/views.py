@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from promoforge.functions.text import normalized
 from promoforge.functions.offers import evidence
 from promoforge.schemas import BENEFIT, QUANTITY
-from promoforge.session import spread
 from promoforge.values import CATEGORIES
 
 NOW = datetime(1998, 6, 15, 12)
@@ -18,7 +17,10 @@ NOW_SQL = "TIMESTAMP '1998-06-15 12:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table. The small ones are one file of one row group, which Spark cannot split: such a scan is
+    dealt out, so that the rendering of pages and listings uses all cores. Tables of many parts are read as they are."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return scan.repartition(spark.sparkContext.defaultParallelism) if scan.rdd.getNumPartitions() == 1 else scan
 
 
 def now():

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promoforge.operators import reconcile as R
+from promoforge.session import written_once
 from promoforge.sources.catalog import CatalogStore
 
 
@@ -27,13 +28,9 @@ def publish(
         return None
     catalog = store.read(buckets=touched)
     batch = incoming.join(allowed.select("source_id"), "source_id", "left_semi")
-    copies = R.collapse_copies(batch, position).persist()
-    scanned = R.verdicts(allowed, copies, catalog).persist()
-    try:
-        offers = R.next_catalog(catalog, R.accepted_offers(copies), scanned)
-        metrics = R.scan_metrics(scanned)
-        store.commit(offers, R.next_sources(sources, scanned, manifests), touched, metrics)
-        return metrics
-    finally:
-        copies.unpersist()
-        scanned.unpersist()
+    copies = written_once(R.collapse_copies(batch, position), "copies")
+    scanned = written_once(R.verdicts(allowed, copies, catalog), "verdicts")
+    offers = R.next_catalog(catalog, R.accepted_offers(copies), scanned)
+    metrics = R.scan_metrics(scanned)
+    store.commit(offers, R.next_sources(sources, scanned, manifests), touched, metrics)
+    return metrics

@@ -61,17 +61,3 @@ def written_once(rows: DataFrame, name: str) -> DataFrame:
     path = work_path(rows.sparkSession, name)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """A file scan over at least as many partitions as there are cores.
-
-    One large file with a single row group would otherwise be worked on by one core. Where the
-    scan already has enough partitions, as at scale, nothing is shuffled.
-    """
-    spark = scan.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = scan.inputFiles()
-    if len(files) >= cores or scan.rdd.getNumPartitions() >= cores:
-        return scan
-    return scan.repartition(cores)

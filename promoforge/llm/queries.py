@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promoforge.llm import quality_sql
 from promoforge.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +25,12 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
-@query("op10_quality_outliers")
+@query("op10_quality_outliers", quality_sql.statement())
 def op10_quality_outliers(spark, sf_dir):
     from promoforge.llm.quality_outliers import judge_quality
 
     return judge_quality(table(spark, sf_dir, "documents")).select(
-        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+        F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 OP9_SQL = r"""
@@ -81,7 +82,31 @@ def op4_line_patience(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "text", "n_lines", "n_removed", "copy")
 
 
-@query("op3_suffix_induction")
+OP3_SQL = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), strings AS (
+  SELECT doc_id, i, md5(substr(h, 2 * i + 1, 200)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 99))) AS i FROM d)
+), repeated AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS n FROM strings) WHERE n > 1
+), numbered AS (
+  SELECT doc_id, i, sum(CASE WHEN i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), i) AS before FROM repeated)
+), runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM numbered GROUP BY doc_id, run
+), pieces AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_byte FROM runs
+), rest AS (
+  SELECT p.doc_id, sum(p.b - p.a) AS n_removed, count(*) AS n_spans, max(p.b) AS last, string_agg(substr(d.h, 2 * p.from_byte + 1, 2 * (p.a - p.from_byte)), '' ORDER BY p.a) AS kept
+  FROM pieces p JOIN d USING (doc_id) GROUP BY p.doc_id
+)
+SELECT d.doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(d.h, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN rest USING (doc_id)
+"""
+
+
+@query("op3_suffix_induction", OP3_SQL)
 def op3_suffix_induction(spark, sf_dir):
     from promoforge.llm.suffix_induction import remove_repeats
 

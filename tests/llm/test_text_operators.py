@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -323,3 +324,84 @@ def test_added_kinds_and_odd_rows(spark):
     got = personal_data(make_docs(spark, [*ODD, (9, "mail a@b.cd or 10.0.0.1"), (10, "+49 170 1234567")])).collect()
     assert {(s.kind, s.start, s.end) for r in got for s in r.spans} == {("email", 5, 11), ("ip", 15, 23), ("phone", 0, 15)}
     assert personal_data(make_docs(spark, [])).count() == 0
+
+
+# --- the pipeline, stage by stage ----------------------------------------------------------------------
+
+SMALL = Path("/root/testdata/sf0.001")
+
+
+def kept_by_quality(rows, min_group=50):
+    counts = [plain_counts(r[1]) for r in rows]
+    stats = np.array([[math.log((c[1] + 250) / (c[0] + 50)), math.sqrt(c[2] / (c[0] + 50)), math.sqrt(c[3] / (c[5] + 5)), math.sqrt(c[4] / (c[0] + 50))] for c in counts])
+    failed = [c[0] < 10 or 100 * c[4] > 20 * c[0] for c in counts]
+    distances = {}
+    for level in [lambda o: o[2:4], lambda o: o[2], lambda o: None]:
+        groups = {}
+        for j, o in enumerate(rows):
+            groups.setdefault(level(o), []).append(j)
+        for members in groups.values():
+            good = [j for j in members if not failed[j]]
+            if len(good) >= min_group:
+                judge = mcd(stats[good])
+                for j in members:
+                    distances.setdefault(j, judge(stats[j]))
+    return [r for j, r in enumerate(rows) if not failed[j] and distances.get(j, 0) <= CUTOFF]
+
+
+def without_common_lines(rows):
+    """Every later text against every earlier one."""
+    def coded(text):
+        out = []
+        for line in (text or "").split("\n"):
+            clean = " ".join(re.findall(r"[^\x20\x09-\x0D]+", line))
+            out.append((clean and hash(clean), clean.count(" ") + 1 if clean else 0))
+        return out
+
+    lines, seen, kept = {r[0]: coded(r[1]) for r in rows}, {}, []
+    for i, text, *rest in sorted(rows):
+        mine, cut = lines[i], set()
+        copy = text in seen and sum(n for _, n in mine) >= 20
+        for j in () if copy else set(seen.values()):
+            if {h for h, _ in lines[j]} & {h for h, _ in mine if h}:
+                for a, b in common_blocks([h for h, _ in lines[j]], [h for h, _ in mine], [n for _, n in mine]):
+                    cut |= set(range(a, b))
+        seen.setdefault(text, i)
+        said = "" if copy else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in cut)
+        if said.strip() or not text.strip():
+            kept.append((i, said, *rest))
+    return kept
+
+
+@pytest.mark.skipif(not SMALL.exists(), reason="tables not available")
+def test_stages_against_brute_force(spark):
+    import corpus_pipeline
+
+    from promoforge.session import written_once
+
+    def rows_of(docs):
+        return sorted((r.doc_id, r.text, r.lang, r.source) for r in docs.collect())
+
+    docs, stages = spark.read.parquet(f"{SMALL}/documents.parquet"), dict(corpus_pipeline.STAGES)
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()]
+    rows = rows_of(docs)
+
+    def after(name):
+        nonlocal docs
+        docs = written_once(stages[name](spark, docs, str(SMALL)), name)
+        return docs
+
+    rows = kept_by_quality(rows)
+    assert rows_of(after("quality")) == sorted(rows)
+    rows = without_common_lines(rows)
+    assert rows_of(after("line_dedup")) == sorted(rows)
+    prints = {r[0]: plain_fingerprint(r[1]) for r in rows}
+    linked, least = components(set(prints.values()), [(a, b) for a in set(prints.values()) for b in set(prints.values()) if a < b and (a ^ b).bit_count() <= 4]), {}
+    for i in sorted(prints):
+        least.setdefault(linked[prints[i]], i)
+    rows = [r for r in rows if r[0] in least.values()]
+    assert rows_of(after("near_dedup")) == sorted(rows)
+    rows = [r for r, hit in zip(rows, plain_hits([r[1] for r in rows], items), strict=True) if not hit[1]]
+    assert rows_of(after("decontamination")) == sorted(rows)
+    last = after("pieces").collect()
+    assert sorted(r.doc_id for r in last) == sorted(r[0] for r in rows) and all(r.exact for r in last)

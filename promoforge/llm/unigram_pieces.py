@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding: unigram Viterbi over a double-array trie.
 
 A text gets the whitespace marker in front and for every space; the best segmentation is the one with the
-largest sum of piece scores. No piece of a vocabulary has a marker after another character, so texts are cut before
-each run of markers and every part is solved by itself, with the same result as for the whole text; frequent parts
-are remembered in the task, up to a bound. A character no piece covers is written as its UTF-8 bytes. Decoding joins the pieces,
+largest sum of piece scores. Texts are cut where no piece of the vocabulary can cross (before markers, and between letters and
+most signs), and every part is solved by itself, with the same result as for the whole text; parts are remembered by
+the worker, up to a bound. A character no piece covers is written as its UTF-8 bytes. Decoding joins the pieces,
 turns markers into spaces, drops the one in front, and reads byte pieces as bytes.
 
 The vocabulary and its trie are broadcast: their size is that of the model file, checked against ``MAX_PIECES``.
@@ -16,6 +16,7 @@ scores the segmentation found first from the left stays); empty tables give empt
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -33,7 +34,20 @@ MAX_PIECES = 1 << 20
 UNKNOWN_PENALTY = 10.0
 # Parts remembered by a task, and the longest of them in characters.
 REMEMBERED, LONGEST = 400_000, 48
-_PARTS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_NEVER = -math.inf
+
+
+def _cutter(pieces: list[str]) -> re.Pattern:
+    """Finds the parts of a marked text. A cut lies before a run of markers, and between a letter or digit and a sign that
+    no piece holds in this order side by side: no piece can cross it, so cutting there changes no segmentation."""
+    signs = [c for c in map(chr, range(128)) if not c.isalnum() and c != " "]
+    after = {b for p in pieces for a, b in zip(p, p[1:]) if a.isalnum()}
+    before = {a for p in pieces for a, b in zip(p, p[1:]) if b.isalnum()}
+    closing = "".join(re.escape(c) for c in signs if c not in after)
+    opening = "".join(re.escape(c) for c in signs if c not in before)
+    word = r"[^\W_]"
+    cut = ([f"{MARK}*{word}+(?=[{closing}])"] if closing else []) + ([f"[{opening}]+(?={word})"] if opening else [])
+    return re.compile("|".join([*cut, f"{MARK}*[^{MARK}]+", f"{MARK}+"]))
 
 
 class DoubleArray:
@@ -111,6 +125,13 @@ class Vocabulary:
         self.scores = scores
         self.unknown = min(normal) - UNKNOWN_PENALTY
         self.trie = DoubleArray(entries)
+        # Scores by state; the padding keeps every step inside the arrays.
+        self.trie.check += [-2] * 257
+        self.gain = [scores[v] if v >= 0 else None for v in self.trie.value] + [None] * 257
+        self.ascii_pieces = [bytes([b]) in entries for b in range(128)]
+        self.wide_pieces = {e for e in entries if len(e) > 1 and len(e.decode()) == 1}
+        self.parts = _cutter([p for p, kind in zip(pieces, types, strict=True) if kind == "normal"])
+        self.name = hashlib.sha256(repr((pieces, scores)).encode()).hexdigest()
 
     @classmethod
     def load(cls, path: str, kind: str = "rank") -> Vocabulary:
@@ -123,33 +144,42 @@ class Vocabulary:
     def solve(self, part: str) -> list[int]:
         """Best pieces of one part."""
         data = part.encode()
-        base, check, value, scores, n = self.trie.base, self.trie.check, self.trie.value, self.scores, len(data)
-        size, low = len(check), -math.inf
-        best, back, piece = [low] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        base, check, value, gain, ascii_pieces, n = self.trie.base, self.trie.check, self.trie.value, self.gain, self.ascii_pieces, len(data)
+        unknown = self.unknown
+        best, back, piece = [_NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         best[0] = 0.0
-        at = 0
-        while at < n:
-            first = data[at]
-            width = 1 if first < 128 else 2 if first < 224 else 3 if first < 240 else 4
-            here, state, covered = best[at], 0, False
+        for at in range(n):
+            here = best[at]
+            if here == _NEVER:
+                continue  # inside a character
+            state, first = 0, data[at]
             for j in range(at, n):
                 nxt = base[state] + data[j] + 1
-                if nxt >= size or check[nxt] != state:
+                if check[nxt] != state:
                     break
                 state = nxt
-                found = value[state]
-                if found >= 0:
-                    score = here + scores[found]
-                    if score > best[j + 1]:
-                        best[j + 1], back[j + 1], piece[j + 1] = score, at, found
-                    covered = covered or j + 1 - at == width
-            if not covered and here + self.unknown > best[at + width]:
-                best[at + width], back[at + width], piece[at + width] = here + self.unknown, at, -1
-            at += width
+                more = gain[nxt]
+                if more is not None:
+                    more += here
+                    if more > best[j + 1]:
+                        best[j + 1], back[j + 1], piece[j + 1] = more, at, value[nxt]
+            if first < 128:
+                if ascii_pieces[first]:
+                    continue
+                end = at + 1
+            else:
+                end = at + (2 if first < 224 else 3 if first < 240 else 4)
+                if data[at:end] in self.wide_pieces:
+                    continue
+            if here + unknown > best[end]:
+                best[end], back[end], piece[end] = here + unknown, at, -1
         out: list[int] = []
         while n:
             start = back[n]
-            out += [piece[n]] if piece[n] >= 0 else [self.byte_ids[b] for b in reversed(data[start:n])]
+            if piece[n] >= 0:
+                out.append(piece[n])
+            else:
+                out += [self.byte_ids[b] for b in reversed(data[start:n])]
             n = start
         out.reverse()
         return out
@@ -162,20 +192,17 @@ class Encoder(dict):
         super().__init__()
         self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> bytes:
-        """``word`` is a part without its first marker."""
-        ids = np.array(self.vocabulary.solve(MARK + word), np.int32).tobytes()
-        if len(word) <= LONGEST and len(self) < REMEMBERED:
-            self[word] = ids
+    def __missing__(self, part: str) -> bytes:
+        ids = np.array(self.vocabulary.solve(part), np.int32).tobytes()
+        if len(part) <= LONGEST and len(self) < REMEMBERED:
+            self[part] = ids
         return ids
 
     def encode(self, text: str) -> np.ndarray:
         if not text:
             return np.zeros(0, np.int32)
-        words = text.split(" ")
-        if MARK in text or "" in words:
-            words = [p[1:] for p in _PARTS.findall(MARK + text.replace(" ", MARK))]
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.int32)
+        parts = self.vocabulary.parts.findall(MARK + text.replace(" ", MARK))
+        return np.frombuffer(b"".join(map(self.__getitem__, parts)), np.int32)
 
     def decode(self, ids: list[int]) -> str:
         data = b"".join(map(self.vocabulary.surface.__getitem__, ids))
@@ -187,18 +214,27 @@ def _vocabulary(path: str, kind: str) -> Vocabulary:
     return Vocabulary.load(path, kind)
 
 
-@lru_cache(maxsize=4)
-def _encoder(shared) -> Encoder:
-    return Encoder(shared.value)
+# Encoders of this Python worker by vocabulary: what one task has solved, the next task of the worker knows.
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(name: str, shared) -> Encoder:
+    """The encoder of the vocabulary called ``name``; at most two are kept."""
+    if name not in _ENCODERS:
+        if len(_ENCODERS) > 1:
+            _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(shared.value)
+    return _ENCODERS[name]
 
 
 def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, kind: str = "rank") -> DataFrame:
     """One row per text: id, ``ids`` (pieces), n_tokens, n_byte_tokens, and ``exact``: the pieces decode to the text, markers in it read as spaces."""
     spark: SparkSession = docs.sparkSession
-    shared = spark.sparkContext.broadcast(_vocabulary(model, kind))
+    vocabulary = _vocabulary(model, kind)
+    name, shared = vocabulary.name, spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(name, shared)
         is_byte = np.zeros(len(encoder.vocabulary.surface), bool)
         is_byte[list(encoder.vocabulary.byte_ids.values())] = True
         for batch in batches:
@@ -222,10 +258,11 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def decode_pieces(rows: DataFrame, id_col: str = "id", ids_col: str = "ids", model: str = MODEL, kind: str = "rank") -> DataFrame:
     """One row per list of pieces: id and text; null lists decode to the empty text."""
-    shared = rows.sparkSession.sparkContext.broadcast(_vocabulary(model, kind))
+    vocabulary = _vocabulary(model, kind)
+    name, shared = vocabulary.name, rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(shared)
+        encoder = _encoder(name, shared)
         for batch in batches:
             texts = [encoder.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(texts, pa.string())], ["id", "text"])

@@ -27,6 +27,8 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 10, 20
 CHI2_MEDIAN, CHI2_REWEIGHT = 3.3567, 11.1433
 # Squared distance beyond which a text is rejected (a chi-square tail of about 4e-10).
 CUTOFF = 50.0
+# Levels up to which a table of them is broadcast.
+BROADCAST_LEVELS = 20_000
 # Weight of the prior that steadies the statistics of short texts, in words and in lines.
 PRIOR_WORDS, PRIOR_LINES, PRIOR_LENGTH = 50, 5, 5
 SYMBOLS = "#*$%&|<>"
@@ -115,6 +117,12 @@ def _grid(value: Column) -> Column:
     return F.round(value, 3)
 
 
+def _beside(rows: DataFrame) -> DataFrame:
+    """A written table with a row per level, to be joined to many rows: broadcast if the count shows that it is small
+    (25 numbers a row, so a few MB at most), else left to Spark's joins, which split hot keys."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_LEVELS else rows
+
+
 def mcd_estimates(vectors: DataFrame, steps: int = 3, min_group: int = 50) -> DataFrame:
     """Location and Cholesky factor of each ``level`` (column) from the columns ``STATS``.
 
@@ -124,20 +132,20 @@ def mcd_estimates(vectors: DataFrame, steps: int = 3, min_group: int = 50) -> Da
     """
     size = range(len(STATS))
     centre = vectors.groupBy("level").agg(F.count(F.lit(1)).alias("fitted"), *[F.median(_grid(F.col(s))).alias(f"m{i}") for i, s in enumerate(STATS)])
-    centre = written_once(centre.where(F.col("fitted") >= min_group), "mcd-centre")
+    centre = _beside(written_once(centre.where(F.col("fitted") >= min_group), "mcd-centre"))
     spread = vectors.join(centre, "level").groupBy("level").agg(
         F.first("fitted").alias("fitted"), *[F.first(f"m{i}").alias(f"m{i}") for i in size],
         *[F.median(_grid(F.abs(F.col(STATS[i]) - F.col(f"m{i}")))).alias(f"d{i}") for i in size])
     start = spread.select("level", "fitted", *[f"m{i}" for i in size], *[
         (F.pow(F.col(f"d{i}") * 1.4826, 2) if i == j else F.lit(0.0)).alias(f"s{i}{j}") for i in size for j in range(i + 1)])
-    estimate = written_once(_factored(start, F.lit(1.0)), "mcd-start")
+    estimate = _beside(written_once(_factored(start, F.lit(1.0)), "mcd-start"))
     for step in range(steps):
         near = vectors.join(estimate, "level").withColumn("d2", _distance())
-        half = written_once(near.groupBy("level").agg(F.median(_grid(F.log1p("d2"))).alias("half")), f"mcd-half{step}")
+        half = _beside(written_once(near.groupBy("level").agg(F.median(_grid(F.log1p("d2"))).alias("half")), f"mcd-half{step}"))
         kept = near.join(half, "level").where(_grid(F.log1p("d2")) <= F.col("half"))
-        estimate = written_once(_factored(kept.groupBy("level").agg(*_moments()), F.lit(1.0)), f"mcd-step{step}")
+        estimate = _beside(written_once(_factored(kept.groupBy("level").agg(*_moments()), F.lit(1.0)), f"mcd-step{step}"))
     near = vectors.join(estimate, "level").withColumn("d2", _distance())
-    half = written_once(near.groupBy("level").agg(F.median(_grid(F.log1p("d2"))).alias("half")), "mcd-factor")
+    half = _beside(written_once(near.groupBy("level").agg(F.median(_grid(F.log1p("d2"))).alias("half")), "mcd-factor"))
     # The nearer half understates the covariance; the median distance says by how much.
     factor = F.greatest(F.lit(1.0), F.expm1("half") / CHI2_MEDIAN)
     kept = near.join(half, "level").where(F.col("d2") <= CHI2_REWEIGHT * factor)
@@ -165,7 +173,7 @@ def judge_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     levels = written_once(counted.select(_levels().alias("levels")).distinct().select(
         F.col("levels")[0].alias("own"), F.posexplode("levels").alias("rank", "level")), "quality-levels")
     best = levels.join(estimates, "level").groupBy("own").agg(F.min_by(F.struct(*[c for c in estimates.columns if c != "level"]), "rank").alias("e"))
-    best = written_once(best.select("own", "e.*"), "quality-best")
+    best = _beside(written_once(best.select("own", "e.*"), "quality-best"))
     judged = counted.withColumn("own", _levels()[0]).join(best, "own", "left").withColumn("distance", _distance())
     return judged.select("id", "key", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
                          (~F.col("base_failed") & (F.coalesce(F.col("distance"), F.lit(0.0)) <= cutoff)).alias("kept"))

@@ -247,7 +247,11 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     Repeated rows of one id stay once if they are equal in all columns.
     """
-    found = near_duplicates(docs, id_col, text_col)
+    return first_of_groups(docs, near_duplicates(docs, id_col, text_col), id_col, text_col)
+
+
+def first_of_groups(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows of ``docs`` that ``found`` (id, key, component) names as the first of their group, and those without id."""
     head, key = fresh("head"), fresh("key")
     heads = found.where("id = component").select(F.col("id").alias(head), F.col("key").alias(key)).distinct()
     named = docs.where(docs[id_col].isNotNull())

@@ -12,6 +12,7 @@ from conftest_llm import ODD, make_docs, prose
 
 from promoforge.llm.components import connected_components
 from promoforge.llm.line_patience import common_blocks, dedup_lines, delete_common
+from promoforge.llm.near_copies import first_copies
 from promoforge.llm.pii_anchors import BASE_KINDS, find_pii, luhn, personal_data
 from promoforge.llm.quality_outliers import CUTOFF, FLOORS, judge_quality, keep_good
 from promoforge.llm.simhash_planes import fingerprint, near_duplicates, near_lanes, one_of_each, planes_of
@@ -95,6 +96,42 @@ def test_near_duplicates(spark, rng):
     assert one_of_each(make_docs(spark, [])).count() == 0
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+@pytest.mark.parametrize("few", [1, 32])
+def test_near_copies(spark, rng, monkeypatch, few):
+    """Pairs of similarity 0.8 and more, around the limit and in groups larger than a block."""
+    from promoforge.llm import near_copies
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "BLOCK", (8, 16))
+    rows, boilerplate = list(ODD), prose(rng, 60)
+    for i in range(40):
+        text = prose(rng, rng.choice((3, 60, 100, 300)))
+        rows.append((1000 + 100 * i, text))
+        for k in range(1, 50 if i == 7 else 6):
+            words = text.split()
+            for _ in range(rng.randrange(0, 2 + len(words) // 25)):
+                words[rng.randrange(len(words))] = f"other{rng.random()}"
+            rows.append((1000 + 100 * i + k, " ".join(words)))
+    rows += [(9000 + i, f"{boilerplate} {prose(rng, rng.choice((8, 40)))}") for i in range(50)]
+    sets = {i: frozenset(plain_shingles(t)) for i, t in rows if i is not None and i != 4}
+    alike = [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))]
+    far = [(a, b) for a, b in alike if (plain_fingerprint(dict(rows)[a]) ^ plain_fingerprint(dict(rows)[b])).bit_count() > 4]
+    assert len(far) > 20
+    linked = components(sets, alike)
+    docs = make_docs(spark, [r for r in rows if r[0] != 4])
+    for kept in (first_copies(docs), corpus_pipeline.near_dedup(spark, docs, "")):
+        assert kept.columns == docs.columns
+        assert sorted(r.doc_id for r in kept.where("doc_id is not null").select("doc_id").collect()) == sorted(set(linked.values()))
+        assert kept.where("doc_id is null").count() == 2
+    assert first_copies(make_docs(spark, [])).count() == 0
+
+
 def test_dense_group_of_fingerprints(spark):
     """More near fingerprints in one bucket than a block holds."""
     from promoforge.llm.simhash_planes import link_fingerprints

@@ -1,7 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-Each repeated line names its first holder, the earliest text with that line. A text is aligned with the first
-holders of its lines, so the pairs grow with the lines and not with the square of a group; the lines that are
+Each repeated line names its first holder, the earliest text with that line, and so does each repeated run of lines. A text is
+aligned with the first holders of its lines and runs, so the pairs grow with the lines and not with the square of a group; the lines that are
 rarest in both texts are the anchors of a patience diff, and the blocks of lines aligned that way are deleted from
 the later text if they are long enough. Whole copies of a text are found by their digest and need no alignment.
 Decisions are made on the texts as given: what is deleted elsewhere does not matter.
@@ -9,10 +9,11 @@ Decisions are made on the texts as given: what is deleted elsewhere does not mat
 Lines are compared with blanks around and between words made one space; lines without a word separate nothing and
 are never deleted by themselves, only inside an aligned block. Words are runs of non-blank characters.
 
-Why first holders are enough: let a block of a text occur in an earlier text. The first holder of any of its lines
-is the earliest text with that line, and alignment looks at both texts as wholes. A block is therefore found
-whenever some earlier text that holds it is the first holder of one of its lines, in particular always for the
-earliest text of a passage whose lines do not all occur singly before.
+First holders of single lines are not enough: each line of a block may occur earlier by itself. So every shortest run of
+lines that reaches the least number of words, from each line on and back from each line, names its first holder too. Every line of
+a block that an earlier text has lies in such a run inside the block, so the text is aligned with the earliest
+text that holds this run. Only runs of lines that all occur in other texts are formed. An alignment is in one order: blocks that
+two texts have in crossing order are not all found by it.
 
 Defined cases: null texts have no lines and stay null; empty texts stay as they are; equal texts are one text, of
 which the smallest id (null ids last, then the digest) is the first and keeps its lines; empty tables give empty
@@ -25,7 +26,9 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -140,6 +143,50 @@ def _align(min_words: int):
     return run
 
 
+def shortest_runs(lines: list[int], words: list[int], known: set[int], min_words: int = MIN_WORDS) -> set[int]:
+    """Hashes of the shortest runs of two and more lines, all of them ``known`` or blank, that have enough words: from each line on and back from each line."""
+    found: set[tuple[int, int]] = set()
+    place = [i for i, h in enumerate(lines) if h]
+    hashes = np.array([lines[i] for i in place], np.int64)
+    total = [0]
+    for i in place:
+        total.append(total[-1] + words[i])
+    k = 0
+    while k < len(place):
+        stop = k
+        while stop < len(place) and lines[place[stop]] in known:
+            stop += 1
+        end = start = k
+        for i in range(k, stop):
+            # The least end for this start, and the greatest start for this end.
+            while end < stop and (end <= i or total[end] - total[i] < min_words):
+                end += 1
+            if end > i + 1 and total[end] - total[i] >= min_words:
+                found.add((i, end))
+            while start < i and total[i + 1] - total[start + 1] >= min_words:
+                start += 1
+            if start < i and total[i + 1] - total[start] >= min_words:
+                found.add((start, i + 1))
+        k = stop + 1
+    return {xxhash.xxh64_intdigest(hashes[i:e].tobytes()) for i, e in found}
+
+
+def _runs(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch.column(c).to_pylist() for c in ("h", "n", "known"))
+            runs = [np.array([*shortest_runs(h, n, set(known), min_words)], np.uint64).view(np.int64) for h, n, known in zip(*columns, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("place"), pa.array(runs, pa.list_(pa.int64()))], ["key", "place", "runs"])
+
+    return run
+
+
+def _first_holders(held: DataFrame, what: str) -> DataFrame:
+    """``what`` and the first of the texts that hold it, where more than one does."""
+    holders = held.groupBy(what).agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("texts"))
+    return written_once(holders.where("texts > 1").select(what, "first"), f"{what}-holders")
+
+
 def _place(id_col: Column, key: Column) -> Column:
     """Order of the texts: by id, null ids last, then by digest."""
     return F.struct(id_col.isNull().alias("last"), id_col.alias("id"), key.alias("key"))
@@ -151,11 +198,16 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = given.select("key", _place(F.col("id"), F.col("key")).alias("place"), line_hashes(F.col("text")).alias("lines"))
     texts = read.groupBy("key").agg(F.min("place").alias("place"), F.first("lines").alias("lines"))
     texts = written_once(texts.select("key", "place", F.col("lines.h").alias("h"), F.col("lines.n").alias("n")), "line-texts")
-    # Pairs: each line of a text names the first text that holds it.
+    # Pairs: each line of a text names the first text that holds it, and so does each run.
     held = texts.select("key", "place", F.explode(F.array_distinct("h")).alias("line")).where("line <> 0")
-    holders = held.groupBy("line").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("texts"))
-    shared = written_once(holders.where("texts > 1").select("line", "first"), "line-holders")
-    pairs = held.join(shared, "line").where(F.col("place") != F.col("first")).select("key", F.col("first.key").alias("other")).distinct()
+    mine = written_once(held.join(_first_holders(held, "line"), "line"), "line-held")
+    known = mine.groupBy("key").agg(F.collect_list("line").alias("known")).where(F.size("known") > 1)
+    formed = texts.join(known, "key").select("key", "place", "h", "n", "known")
+    place = texts.schema["place"].dataType.simpleString()
+    formed = formed.mapInArrow(_runs(min_words), f"key binary, place {place}, runs array<bigint>")
+    runs = written_once(formed.select("key", "place", F.explode("runs").alias("run")), "line-runs")
+    named = mine.select("key", "place", "first").unionByName(runs.join(_first_holders(runs, "run"), "run").select("key", "place", "first"))
+    pairs = named.where(F.col("place") != F.col("first")).select("key", F.col("first.key").alias("other")).distinct()
     pairs = written_once(pairs, "line-pairs")
     # Alignment needs the line hashes of both; a first holder of many texts is a hot key that Spark splits.
     earlier = texts.select(F.col("key").alias("other"), F.col("h").alias("eh"))

@@ -294,6 +294,21 @@ def test_lines(spark, rng):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_block_whose_lines_all_occur_before(spark, rng):
+    """The first holder of the block is the first holder of none of its lines."""
+    one, two, three = prose(rng, 12), prose(rng, 12), prose(rng, 3)
+    own = [prose(rng, 30) for _ in range(9)]
+    rows = [(1, f"{own[0]}\n{one}"), (2, f"{two}\n{own[1]}"), (3, f"{three}\n{own[2]}"), (4, f"{own[3]}\n{one}\n{two}\n{own[4]}"), (5, f"{one}\n\n{two}\n{own[5]}"),
+            (6, f"{own[6]}\n{one}\n{two}"), (7, f"{one}\n{two}\n{three}\n{own[7]}"), (8, f"{own[8]}\n{one}\n{two}\n{three}")]
+    want = dict(rows) | {5: own[5], 6: own[6], 7: f"{three}\n{own[7]}", 8: own[8]}
+    assert {r.id: r.text for r in dedup_lines(make_docs(spark, rows)).collect()} == want
+    # Texts with lines of one order, so that alignment finds all that two of them share.
+    lines = [prose(rng, n) for n in (12, 3, 9, 25, 7, 15, 1, 6, 13, 2, 11, 8)]
+    rows = [(i, "\n".join([prose(rng, 30), *("" if rng.random() < 0.1 else x for x in lines if rng.random() < 0.6)])) for i in range(80)]
+    got = delete_common(make_docs(spark, rows, False)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got)) == sorted(without_common_lines(rows))
+
+
 # --- repeated bytes --------------------------------------------------------------------------------
 
 def plain_rest(rows):

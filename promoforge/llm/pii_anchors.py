@@ -22,14 +22,14 @@ from pyspark.sql import DataFrame
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "account", "address")
-# Words that announce a secret or an account.
-CUES = ("password", "passwd", "pwd", "passphrase", "api_key", "apikey", "api-key", "secret", "token", "access_key", "account")
+# Words that announce a secret or an account, in any mixture of cases.
+CUES = ("password", "passwd", "pwd", "passphrase", "api_key", "apikey", "api-key", "secret", "token", "access_key", "accesskey", "access-key", "account")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_VALUE = re.compile(r"""[A-Za-z0-9_-]{0,16}["']?\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9+/_.~-]{8,256})""")
+_VALUE = re.compile(r"""[A-Za-z0-9_-]{0,16}["']?\s{0,3}[=:]\s{0,3}["']?([A-Za-z0-9+/_.~-]{8,})""")
 _ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _AUTHORITY = re.compile(r"[^\s/?#@\"'<>]+@[^\s/?#@\"'<>]+[^\s\"'<>]*")
@@ -51,8 +51,8 @@ def iban_valid(text: str) -> bool:
 
 @lru_cache(maxsize=1)
 def _automaton() -> ahocorasick.Automaton:
-    found = {"@": "@", "+": "+", "://": "://", "AKIA": "key"} | {d: "digit" for d in "0123456789"}
-    found |= {v: "cue" for c in CUES for v in (c, c.upper(), c.capitalize())} | {v: "iban" for v in ("iban", "IBAN", "Iban")}
+    found = {"@": "@", "+": "+", "://": "://", "akia": "key", "iban": "iban"} | {d: "digit" for d in "0123456789"}
+    found |= dict.fromkeys(CUES, "cue")
     out = ahocorasick.Automaton()
     for word, what in found.items():
         out.add_word(word, (len(word), what))
@@ -72,7 +72,9 @@ def find_pii(text: str | None) -> list[tuple[str, int, int]]:
         if good:
             out[kind].append((start, end))
 
-    for last, (length, what) in _automaton().iter(text):
+    # Only A-Z change, so places stay the same.
+    lower = text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+    for last, (length, what) in _automaton().iter(lower):
         start, end = last + 1 - length, last + 1
         if what == "digit":
             if start and "0" <= text[start - 1] <= "9":

@@ -202,3 +202,15 @@ def op6_redirects(spark, sf_dir):
     from promoforge.llm.redirects import judge_urls, rules_table
 
     return judge_urls(table(spark, sf_dir, "pages"), rules_table(spark, URL_RULES)).select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+# Tokens of a training context; longer texts are marked.
+CONTEXT_TOKENS = 1024
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark, sf_dir):
+    from promoforge.llm.token_counts import count_tokens
+
+    counted = count_tokens(table(spark, sf_dir, "documents"))
+    return counted.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > CONTEXT_TOKENS).alias("over_limit"))

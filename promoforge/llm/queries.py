@@ -242,3 +242,50 @@ def op13_residue_negatives(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
     return mine_negatives(rows, F.col("vec_id") % 50 == 0).select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank",
                                                                   F.col("negative").alias("negative_id"), "positive_score", "negative_score")
+
+
+# Letters beyond a-z are mapped to single bytes for the byte-wise distance; crc32 is stated on bytes with its table.
+OP12_SQL = r"""
+WITH RECURSIVE tab AS (
+  SELECT list(list_reduce(list_prepend(CAST(b AS BIGINT), [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY b) AS t
+  FROM range(256) r(b)
+), runs AS (
+  SELECT doc_id, run, count(*) AS times FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY ALL
+), bytes AS (
+  SELECT run, times, hex(encode(doc_id || ':' || run)) AS h FROM runs
+), hashed AS (
+  SELECT run, times, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(h), 2), lambda i:
+      CAST((strpos('0123456789ABCDEF', h[i]) - 1) * 16 + strpos('0123456789ABCDEF', h[i + 1]) - 1 AS BIGINT))), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS h
+  FROM bytes, tab
+), said AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2) ELSE run END AS word, times FROM hashed
+), words AS (
+  SELECT word, CAST(sum(times) AS BIGINT) AS n, translate(word, 'ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖ×ØÙÚÛÜÝÞßàáâãäåæçèéêëìíîïðñòóôõö÷øùúûüýþÿ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789!#$%&()*+,-./:;<=>?@[]^_{|}~') AS plain
+  FROM said GROUP BY word HAVING length(word) >= 6 AND sum(times) >= 5
+), near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM words a JOIN words b ON abs(length(a.word) - length(b.word)) <= 1 AND a.word <> b.word AND levenshtein(a.plain, b.plain) = 1
+), best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word
+), named AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * n THEN other END AS form, CASE WHEN other_n >= 5 * n THEN other_n END AS form_n FROM words w LEFT JOIN best USING (word)
+), chain(word, last) AS (
+  SELECT word, word FROM named UNION ALL SELECT c.word, n.form FROM chain c JOIN named n ON n.word = c.last WHERE n.form IS NOT NULL
+), ends AS (
+  SELECT c.word, c.last AS root FROM chain c JOIN named n ON n.word = c.last WHERE n.form IS NULL
+)
+SELECT word, form, root, n, n_near, form_n FROM named JOIN ends USING (word)
+"""
+
+
+@query("op12_bloom_variants", OP12_SQL)
+def op12_bloom_variants(spark, sf_dir):
+    from promoforge.llm.spelling_variants import count_words, group_variants
+
+    def misspelt(doc_id, run):
+        """One of 199 runs loses a letter."""
+        h = F.crc32(F.concat(doc_id, F.lit(":"), run))
+        at = (h % F.char_length(run)).cast("int")
+        return F.when(h % 199 == 0, F.concat(F.substr(run, F.lit(1), at), F.substr(run, at + 2))).otherwise(run)
+
+    return group_variants(count_words(table(spark, sf_dir, "documents"), alter=misspelt)).select("word", "form", "root", "n", "n_near", "form_n")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promoforge.llm.common import BLANKS, fresh, text_key
+from promoforge.llm.common import BLANKS, fresh, let, text_key
 from promoforge.session import written_once
 
 # A block of aligned lines is deleted from this many words on.
@@ -41,11 +41,13 @@ MIN_WORDS = 20
 
 def line_hashes(text: Column) -> Column:
     """Hash and number of words of every line; hash 0 for lines without a word."""
-    def one(line):
-        clean = F.btrim(F.regexp_replace(line, "[ \\t-\\r]+", " "), F.lit(BLANKS))
+    def hashed(clean):
         words = F.when(clean == "", 0).otherwise(F.char_length(clean) - F.char_length(F.replace(clean, F.lit(" "), F.lit(""))) + 1)
         return F.struct(F.when(clean == "", F.lit(0).cast("long")).otherwise(F.xxhash64(clean)).alias("h"), words.cast("int").alias("n"))
 
+    def one(line):
+        return let(F.btrim(F.regexp_replace(line, "[ \\t-\\r]+", " "), F.lit(BLANKS)), hashed)
+
     return F.when(text.isNull(), F.array().cast("array<struct<h:bigint,n:int>>")).otherwise(F.transform(F.split(text, "\n", -1), one))
 
 

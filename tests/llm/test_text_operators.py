@@ -132,6 +132,39 @@ def test_near_copies(spark, rng, monkeypatch, few):
     assert first_copies(make_docs(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("few", [1, 32])
+def test_near_copies_of_all_sizes(spark, monkeypatch, few):
+    """Chains of sets that grow a little from one to the next, and sets that differ in size by the limit."""
+    from promoforge.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "FEW", few)
+    monkeypatch.setattr(near_copies, "BLOCK", (3, 5))
+    words = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(words[:n])) for i, n in enumerate([5, 6, 7, 8, 9, 10, 14, 19, 24, 29, 34, 100, 125, 126, 160, 198, 199, 250, 312, 313, 390])]
+    rows += [(100 + k, " ".join(words[k:k + 100])) for k in range(0, 60, 3)]
+    sets = {i: plain_shingles(t) for i, t in rows}
+    linked = components(sets, [(a, b) for a in sets for b in sets if a < b and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])])
+    assert sorted(r.doc_id for r in first_copies(make_docs(spark, rows)).select("doc_id").collect()) == sorted(set(linked.values()))
+
+
+def test_prefixes_hold_enough_common_shingles(rng):
+    from promoforge.llm.near_copies import least_shared, prefix_length
+
+    for _ in range(3000):
+        common = rng.randrange(1, 200)
+        only_a, only_b = rng.randrange(common // 4 + 1), rng.randrange(common // 4 + 1)
+        if 5 * common < 4 * (common + only_a + only_b):
+            continue
+        order = rng.sample(range(10**6), common + only_a + only_b)
+        both, a, b = set(order[:common]), sorted(order[:common + only_a]), sorted(order[:common] + order[common + only_a:])
+        if rng.random() < 0.5:
+            # The worst order: what is not shared comes first.
+            a.sort(key=lambda x: (x in both, x))
+            b.sort(key=lambda x: (x in both, x))
+        first_a, first_b = set(a[:prefix_length(len(a))]), set(b[:prefix_length(len(b))])
+        assert len(first_a & first_b) >= max(least_shared(len(a)), least_shared(len(b)))
+
+
 def test_dense_group_of_fingerprints(spark):
     """More near fingerprints in one bucket than a block holds."""
     from promoforge.llm.simhash_planes import link_fingerprints
@@ -460,11 +493,9 @@ def test_stages_against_brute_force(spark):
     assert rows_of(after("quality")) == sorted(rows)
     rows = without_common_lines(rows)
     assert rows_of(after("line_dedup")) == sorted(rows)
-    prints = {r[0]: plain_fingerprint(r[1]) for r in rows}
-    linked, least = components(set(prints.values()), [(a, b) for a in set(prints.values()) for b in set(prints.values()) if a < b and (a ^ b).bit_count() <= 4]), {}
-    for i in sorted(prints):
-        least.setdefault(linked[prints[i]], i)
-    rows = [r for r in rows if r[0] in least.values()]
+    sets = {r[0]: frozenset(plain_shingles(r[1])) for r in rows}
+    linked = components(sets, [(a, b) for a in sets for b in sets if a < b and (sets[a] == sets[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))])
+    rows = [r for r in rows if r[0] in linked.values()]
     assert rows_of(after("near_dedup")) == sorted(rows)
     rows = [r for r, hit in zip(rows, plain_hits([r[1] for r in rows], items), strict=True) if not hit[1]]
     assert rows_of(after("decontamination")) == sorted(rows)

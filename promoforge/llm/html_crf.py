@@ -7,7 +7,8 @@ main text are joined in page order. The labelled pages are made here from templa
 sidebars, notices, adverts, forms, reader comments) and filled with random words; ``PAGES`` of them teach, others test.
 
 Defined cases: null and empty pages give the empty text; broken markup (unclosed or stray tags, any depth) is read as far as it
-goes; a ``<`` that starts no tag is text; pages are judged one by one; empty tables give empty results. Only the named columns
+goes; scripts, styles and embedded objects have no text, and where such an element closes itself or is never closed it has no content either, but for
+scripts and styles, which then go to the end of the page; a ``<`` that starts no tag is text; pages are judged one by one; empty tables give empty results. Only the named columns
 are read.
 """
 
@@ -17,7 +18,7 @@ import html
 import math
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from functools import lru_cache
 
 import numpy as np
@@ -39,32 +40,67 @@ _TOKEN = re.compile(r"[a-z]{2,}")
 
 
 class Block:
-    """Text of a leaf block, its ancestors (tag, name tokens), and how much of it are links."""
+    """Text of a leaf block, its innermost element, the features of all elements around it, and how much of it are links."""
 
-    __slots__ = ("text", "path", "linked")
+    __slots__ = ("text", "parent", "around", "linked")
 
-    def __init__(self, text: str, path: tuple, linked: int):
-        self.text, self.path, self.linked = text, path, linked
+    def __init__(self, text: str, parent: str | None, around: frozenset[str], linked: int):
+        self.text, self.parent, self.around, self.linked = text, parent, around, linked
 
 
-def leaf_blocks(page: str) -> list[Block]:
-    stack: list[tuple[str, tuple[str, ...]]] = []
+class _Open:
+    """The open elements of a page, with the places of each tag, so that finding one costs the same at any depth.
+
+    Elements share the set of features of the elements around them unless they add to it; with ``known`` only features in it count, so a
+    set is copied at most as often as there are such features.
+    """
+
+    def __init__(self, known):
+        self.known = known
+        self.tags: list[str] = []
+        self.around: list[frozenset[str]] = [frozenset()]
+        self.places: dict[str, list[int]] = {}
+
+    def last(self, tags) -> int:
+        """Place of the innermost open element with one of the tags, or -1."""
+        return max((places[-1] for t in tags if (places := self.places.get(t))), default=-1)
+
+    def push(self, tag: str, names: set[str]) -> None:
+        self.places.setdefault(tag, []).append(len(self.tags))
+        self.tags.append(tag)
+        mine = {f"ancestor:{tag}", *(f"name:{n}" for n in names)}
+        if self.known is not None:
+            mine &= self.known
+        around = self.around[-1]
+        self.around.append(around if mine <= around else around | mine)
+
+    def close(self, depth: int) -> None:
+        """End the element at a place and all inside it."""
+        for tag in self.tags[depth:]:
+            self.places[tag].pop()
+        del self.tags[depth:], self.around[depth + 1:]
+
+
+def leaf_blocks(page: str, known: Set[str] | None = None) -> list[Block]:
+    opened = _Open(known)
     blocks: list[Block] = []
     said: list[str] = []
-    linked = links = at = 0
+    # Raw elements that are not closed any more.
+    endless: set[str] = set()
+    linked = at = 0
 
     def flush():
         nonlocal linked
         text = " ".join(html.unescape("".join(said)).split())
         if text:
-            blocks.append(Block(text, tuple(stack), linked))
+            blocks.append(Block(text, opened.tags[-1] if opened.tags else None, opened.around[-1], linked))
         said.clear()
         linked = 0
 
     def say(text: str):
         nonlocal linked
         said.append(text)
-        linked += len(text) if links else 0
+        linked += len(text) if opened.places.get("a") else 0
 
     while True:
         m = _TAG.search(page, at)
@@ -80,31 +116,28 @@ def leaf_blocks(page: str) -> list[Block]:
         if m[1]:
             if tag in BLOCK_TAGS:
                 flush()
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if depth is not None:
-                links -= sum(t == "a" for t, _ in stack[depth:])
-                del stack[depth:]
+            depth = opened.last((tag,))
+            if depth >= 0:
+                opened.close(depth)
             continue
         if tag == "br":
             said.append(" ")
         if tag in BLOCK_TAGS:
             flush()
             for group in _SIBLINGS:
-                if tag in group or ("p" in group and tag != "a"):
-                    for i in range(len(stack) - 1, -1, -1):
-                        if stack[i][0] in group:
-                            links -= sum(t == "a" for t, _ in stack[i:])
-                            del stack[i:]
-                            break
-                        if stack[i][0] in _CONTAINERS:
-                            break
+                if tag in group or "p" in group:
+                    depth = opened.last(group)
+                    if depth >= 0 and depth >= opened.last(_CONTAINERS):
+                        opened.close(depth)
         if tag in RAW_TAGS:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = None if tag in endless or m[3].endswith("/") else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if end:
+                at = end.end()
+            elif not m[3].endswith("/"):
+                endless.add(tag)
+                at = len(page) if tag in ("script", "style") else at
         elif tag not in VOID_TAGS and not m[3].endswith("/"):
-            names = tuple(sorted({t for n in _NAMES.findall(m[3]) for t in _TOKEN.findall("".join(n).lower())})) if m[3] else ()
-            stack.append((tag, names))
-            links += tag == "a"
+            opened.push(tag, {t for n in _NAMES.findall(m[3]) for t in _TOKEN.findall("".join(n).lower())} if m[3] else set())
     flush()
     return blocks
 
@@ -115,9 +148,9 @@ def features(blocks: list[Block]) -> list[list[str]]:
         text = b.text
         words = text.count(" ") + 1
         mine = {"bias", f"words:{min(8, int(math.log2(words)))}", f"linked:{min(4, int(4.99 * b.linked / max(1, len(text))))}", f"ends:{text[-1] if text[-1] in '.!?:,;' else 'x'}"}
-        mine |= {"ancestor:" + t for t, _ in b.path} | {"name:" + name for _, names in b.path for name in names}
-        if b.path:
-            mine.add("parent:" + b.path[-1][0])
+        mine |= b.around
+        if b.parent:
+            mine.add("parent:" + b.parent)
         if i == 0:
             mine.add("first")
         if i == n - 1:
@@ -128,6 +161,20 @@ def features(blocks: list[Block]) -> list[list[str]]:
     return out
 
 
+def chances(emit: np.ndarray, t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Chance of each label at each place, and expected number of each pair of neighbouring labels, by forward-backward."""
+    n = len(emit)
+    forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
+    forward[0] = emit[0]
+    for i in range(1, n):
+        forward[i] = emit[i] + np.logaddexp(forward[i - 1, 0] + t[0], forward[i - 1, 1] + t[1])
+    for i in range(n - 2, -1, -1):
+        backward[i] = np.logaddexp(t[:, 0] + emit[i + 1, 0] + backward[i + 1, 0], t[:, 1] + emit[i + 1, 1] + backward[i + 1, 1])
+    total = np.logaddexp(*forward[-1])
+    pairs = np.exp(forward[:-1, :, None] + t + (emit[1:] + backward[1:])[:, None, :] - total).sum(axis=0)
+    return np.exp(forward + backward - total), pairs
+
+
 class Chain:
     """Two-label chain: weights[feature] for both labels, and transitions[from][to]; label 1 is main text."""
 
@@ -172,21 +219,12 @@ def train_chain(pages: list[tuple[list[list[str]], list[int]]], epochs: int = EP
     for _ in range(epochs):
         order.shuffle(coded)
         for rows, labels in coded:
-            n = len(rows)
             emit = np.array([w[r].sum(axis=0) for r in rows])
-            forward, backward = np.zeros((n, 2)), np.zeros((n, 2))
-            forward[0] = emit[0]
-            for i in range(1, n):
-                forward[i] = emit[i] + np.logaddexp(forward[i - 1, 0] + t[0], forward[i - 1, 1] + t[1])
-            for i in range(n - 2, -1, -1):
-                backward[i] = np.logaddexp(t[:, 0] + emit[i + 1, 0] + backward[i + 1, 0], t[:, 1] + emit[i + 1, 1] + backward[i + 1, 1])
-            total = np.logaddexp(*forward[-1])
-            error = np.eye(2)[labels] - np.exp(forward + backward - total)
+            expected, counts = chances(emit, t)
+            error = np.eye(2)[labels] - expected
             pairs = np.zeros((2, 2))
-            if n > 1:
-                both = forward[:-1, :, None] + t + (emit[1:] + backward[1:])[:, None, :] - total
-                np.add.at(pairs, (labels[:-1], labels[1:]), 1)
-                pairs -= np.exp(both).sum(axis=0)
+            np.add.at(pairs, (labels[:-1], labels[1:]), 1)
+            pairs -= counts
             gt += pairs ** 2
             t += rate * pairs / np.sqrt(gt)
             flat = np.concatenate(rows)
@@ -283,7 +321,7 @@ def default_chain() -> Chain:
 
 
 def main_text(page: str | None, chain: Chain) -> str:
-    blocks = leaf_blocks(page or "")
+    blocks = leaf_blocks(page or "", chain.weights.keys())
     return "\n".join(b.text for b, label in zip(blocks, chain.decode(features(blocks)), strict=True) if label)
 
 

@@ -8,7 +8,7 @@ of the text, and a logistic curve fitted on labelled texts turns the two figures
 The lexicon is learned: words and word beginnings that are common in texts labelled toxic and rare in others, weighted by
 smoothed log odds. Phrases of a hit and its neighbour that labelled clean texts use become exceptions. Learning takes at most
 ``MAX_LABELLED`` labelled texts, those with the smallest hash of their id; every text is scored. Lexicon and exceptions are broadcast
-and have at most ``MAX_TERMS`` entries each.
+and have at most ``max_terms`` entries each, those of most texts; the model says how many were left out (``cut``).
 
 Defined cases: null and empty texts hold no hit and get the score of such texts; labels that are null or without a text teach
 nothing, of repeated labels of an id the largest counts; equal texts teach once; without texts of both labels every score
@@ -20,9 +20,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -41,11 +43,14 @@ THRESHOLD = 0.7
 # Letters that look like Latin ones, and signs used for letters inside words.
 LOOKALIKES = str.maketrans({
     "а": "a", "в": "b", "е": "e", "ё": "e", "і": "i", "ј": "j", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "ѕ": "s", "т": "t", "у": "y",
-    "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ɑ": "a"})
+    "х": "x", "ԁ": "d", "ԛ": "q", "ԝ": "w", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ω": "w", "ɑ": "a",
+    "ı": "i", "ɪ": "i", "օ": "o", "һ": "h", "ո": "n", "ս": "u", "ɡ": "g", "ʏ": "y", "ᴀ": "a", "ᴄ": "c", "ᴅ": "d", "ᴇ": "e", "ᴋ": "k", "ᴍ": "m", "ᴏ": "o", "ᴘ": "p", "ᴛ": "t", "ᴜ": "u"})
 SIGNS = str.maketrans("013457@$!|€", "oieastasiie")
-_FOREIGN = re.compile("[Ͱ-ԯɐ-ʯ！-～​-‍­⁠﻿]")
+# Beyond ASCII and common accented letters: what may be a disguise.
+_FOREIGN = re.compile("[^\x00-\x7f\u00c0-\u012f\u0132-\u017f]")
 _HIDDEN = re.compile("[​-‍­⁠﻿]")
-_DISGUISED = re.compile(r"[^\W_0-9]+(?:[0-9@$!|€]+[^\W_0-9]+)+|(?<!\S)[0-9@$|€](?=[^\W_0-9])(?:[0-9@$!|€]*[^\W_0-9]+)+")
+# A run of letters that signs go on in, from its start; or one sign at the start of a word.
+_DISGUISED = re.compile(r"(?<![^\W_0-9])[^\W_0-9]++(?:[0-9@$!|€]++[^\W_0-9]++)+|(?<!\S)[0-9@$|€](?=[^\W_0-9])(?:[0-9@$!|€]*+[^\W_0-9]++)+")
 _WORD = re.compile(r"[^\W_0-9]{3,40}")
 
 
@@ -61,8 +66,6 @@ class Lexicon:
     """Automaton of terms (``word`` or ``beginning*``) with weights, and of exception phrases."""
 
     def __init__(self, weights: dict[str, float], exceptions: list[str]):
-        if max(len(weights), len(exceptions)) > MAX_TERMS:
-            raise ValueError(f"a lexicon has at most {MAX_TERMS} terms and as many exceptions")
         self.weights = weights
         self.automaton = ahocorasick.Automaton()
         found: dict[str, list] = {}
@@ -92,7 +95,12 @@ class Lexicon:
                         spared.append((start, end))
                 elif closed or term[-1] == "*":
                     hits.append((start, end, term))
-        return [h for h in hits if not any(a <= h[0] and h[1] <= b for a, b in spared)]
+        if not spared:
+            return hits
+        # Of the phrases that start no later than a hit, the one that reaches farthest.
+        spared.sort()
+        starts, ends = [a for a, _ in spared], list(accumulate((b for _, b in spared), max))
+        return [h for h in hits if not (k := bisect_right(starts, h[0])) or ends[k - 1] < h[1]]
 
     def figures(self, text: str | None) -> tuple[float, float]:
         """Weight of the hits in units of the strongest single hit, up to one; and weight by the length of the text."""
@@ -119,9 +127,9 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                           pa.array([counts[0][t] for t in terms], pa.int64())], ["term", "toxic", "clean"])
 
 
-def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) -> dict[str, float]:
+def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int, most: int = MAX_TERMS) -> tuple[dict[str, float], int]:
     """Weights of the terms chosen from ``counts`` (toxic texts, clean texts): a beginning where many words
-    share it, else the word; nothing that extends a chosen beginning."""
+    share it, else the word; nothing that extends a chosen beginning. And how many beyond ``most`` were left out."""
     good = {t: c for t, c in counts.items() if c[0] >= max(MIN_TEXTS, MIN_SHARE * toxic) and c[0] >= MIN_PRECISION * (c[0] + c[1])}
     words = [t for t in good if t[-1] != "*"]
     best: dict[str, int] = {}
@@ -139,7 +147,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], toxic: int, clean: int) ->
         return math.log((c[0] + 0.5) / (toxic + 1)) - math.log((c[1] + 0.5) / (clean + 1))
 
     chosen.sort(key=lambda t: (-good[t][0], t))
-    return {t: odds(good[t]) for t in chosen[:MAX_TERMS]}
+    return {t: odds(good[t]) for t in chosen[:most]}, max(0, len(chosen) - most)
 
 
 @lru_cache(maxsize=4)
@@ -162,8 +170,10 @@ def _fit(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 class ToxicityModel:
-    def __init__(self, weights: dict[str, float], exceptions: list[str], theta: list[float] | None):
-        self.weights, self.exceptions, self.theta = weights, exceptions, theta
+    """Weights of terms, exception phrases, curve, and how many terms and phrases the bound left out when it was learned."""
+
+    def __init__(self, weights: dict[str, float], exceptions: list[str], theta: list[float] | None, cut: tuple[int, int] = (0, 0)):
+        self.weights, self.exceptions, self.theta, self.cut = weights, exceptions, theta, cut
 
     def score(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row per text: id, score (0 to 1) and ``hits`` (start, end in folded characters, term)."""
@@ -185,7 +195,8 @@ class ToxicityModel:
         return text.mapInArrow(run, f"id {text.schema['id'].dataType.simpleString()}, score double, hits array<struct<start:int,end:int,term:string>>")
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def learn_toxicity(docs: DataFrame, labels: DataFrame, teaches: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+                   max_terms: int = MAX_TERMS) -> ToxicityModel:
     """Lexicon, exceptions and curve from the labelled texts; ``teaches`` says which labels (by their columns) may be used."""
     given = labels.where(teaches & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     given = given.groupBy(F.col(id_col).alias("lid")).agg(F.max(F.col(label_col).cast("int")).alias("toxic"))
@@ -201,7 +212,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, teaches: Column, id_col:
     counts = sample.mapInArrow(_term_counts, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     # Each text holds a bounded share of the terms, so those common enough are few.
     common = counts.where((F.col("toxic") >= max(MIN_TEXTS, MIN_SHARE * toxic)) & (F.col("toxic") >= MIN_PRECISION * (F.col("toxic") + F.col("clean"))))
-    weights = choose_terms({r.term: (r.toxic, r.clean) for r in common.collect()}, toxic, clean)
+    weights, terms_cut = choose_terms({r.term: (r.toxic, r.clean) for r in common.collect()}, toxic, clean, max_terms)
 
     plain = sample.sparkSession.sparkContext.broadcast((weights, []))
 
@@ -221,8 +232,10 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, teaches: Column, id_col:
             yield pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.int32())], ["phrase", "toxic"])
 
     spared = sample.mapInArrow(phrases, "phrase string, toxic int").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.count(F.lit(1)).alias("n"))
-    spared = spared.where((F.col("n") - F.col("toxic") >= 3) & (10 * F.col("toxic") <= F.col("n"))).orderBy(F.desc("n"), "phrase").limit(MAX_TERMS)
-    exceptions = [r.phrase for r in spared.collect()]
+    spared = spared.where((F.col("n") - F.col("toxic") >= 3) & (10 * F.col("toxic") <= F.col("n")))
+    spared = written_once(spared, "exceptions")
+    exceptions = [r.phrase for r in spared.orderBy(F.desc("n"), "phrase").limit(max_terms).collect()]
+    cut = terms_cut, max(0, spared.count() - max_terms)
 
     whole = sample.sparkSession.sparkContext.broadcast((weights, exceptions))
 
@@ -235,4 +248,4 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, teaches: Column, id_col:
     rows = sample.mapInArrow(figures, "a double, b double, toxic int").groupBy("a", "b", "toxic").count().toPandas().sort_values(["a", "b", "toxic"])
     spread = np.repeat(np.arange(len(rows)), rows["count"])
     theta = _fit(rows[["a", "b"]].to_numpy()[spread], rows["toxic"].to_numpy(float)[spread])
-    return ToxicityModel(weights, exceptions, theta.tolist())
+    return ToxicityModel(weights, exceptions, theta.tolist(), cut)

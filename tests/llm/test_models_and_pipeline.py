@@ -1,10 +1,15 @@
 """Tokens, toxicity, pages, urls and the pipeline: exact round trips, held-out accuracy, SQL and brute force."""
 
 import html
+import itertools
+import math
 import re
+import time
+import tracemalloc
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 import sentencepiece
 from conftest_llm import ODD, make_docs, prose
@@ -12,9 +17,9 @@ from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
 
 import promoforge.llm.queries as queries
-from promoforge.llm.html_crf import as_training, default_chain, extract_main, labelled_pages, leaf_blocks, main_text
+from promoforge.llm.html_crf import RAW_TAGS, Chain, as_training, chances, default_chain, extract_main, labelled_pages, leaf_blocks, main_text
 from promoforge.llm.redirects import judge_urls, rules_table
-from promoforge.llm.toxicity_lexicon import ToxicityModel, choose_terms, fold, learn_toxicity
+from promoforge.llm.toxicity_lexicon import Lexicon, ToxicityModel, choose_terms, fold, learn_toxicity
 from promoforge.llm.unigram_pieces import MARK, MODEL, DoubleArray, Encoder, Vocabulary, decode_pieces, encode_texts
 
 SF = Path("/root/testdata/sf0.01")
@@ -79,9 +84,27 @@ def test_folding():
     assert fold("You Id10t, іdiot ｉｄｉｏｔ 1diot $cum 1005 a1 idiot!! c@t i\u200bdiot") == "you idiot, idiot idiot idiot scum 1005 a1 idiot!! cat i​diot".replace("i\u200bdiot", "idiot")
 
 
+def test_folding_of_very_long_texts():
+    for text in ("x" * 1_000_000, "x1" * 500_000, "1" * 1_000_000, "$" * 1_000_000, "x" + "1" * 1_000_000, " 1" * 500_000, "ｘ" * 1_000_000):
+        start = time.process_time()
+        assert len(fold(text)) == len(text)
+        assert time.process_time() - start < 10
+    assert fold("𝕚𝕕𝕚𝕠𝕥 ⓘⓓⓘⓞⓣ ıdɪօt") == "idiot idiot idiot"
+    lexicon = Lexicon({"fiend": 1.0}, ["friendly fiend"])
+    start = time.process_time()
+    assert len(lexicon.hits("friendly fiend and fiend " * 40_000)) == 40_000
+    assert time.process_time() - start < 10
+
+
+def test_terms_beyond_the_bound_are_counted():
+    counts = {f"word{i:03}x": (50 + i, 0) for i in range(20)}
+    chosen, cut = choose_terms(counts, 100, 1000, most=5)
+    assert len(chosen) == 5 and cut == 15 and "word019x" in chosen
+
+
 def test_terms_are_words_or_beginnings():
     counts = {"idiot": (50, 0), "idio*": (50, 0), "idiot*": (50, 0), "vequ*": (60, 1), "vequa": (9, 0), "vequt": (8, 0), "vequa*": (20, 0), "house": (60, 500), "rare": (2, 0)}
-    assert set(choose_terms(counts, 120, 1000)) == {"idiot", "vequ*"}
+    assert set(choose_terms(counts, 120, 1000)[0]) == {"idiot", "vequ*"}
 
 
 def test_learning_and_scores(spark, rng):
@@ -131,6 +154,51 @@ def test_blocks_of_broken_markup():
     assert leaf_blocks("") == [] and [b.text for b in leaf_blocks("plain")] == ["plain"] and [b.text for b in leaf_blocks("<")] == ["<"]
 
 
+@pytest.mark.parametrize("tag", sorted(RAW_TAGS))
+def test_raw_elements_lose_no_text(tag):
+    def said(page):
+        return [b.text for b in leaf_blocks(page)]
+
+    assert said(f"<p>a<{tag} class=i>x<p>y</{tag}>b<p>c") == ["ab", "c"]
+    assert said(f"<p>a<{tag} class=i/>b<p>c") == said(f"<p>a<{tag} class='i' />b<p>c") == ["ab", "c"]
+    assert said(f"<p>a<{tag}>b<p>c") == (["a"] if tag in ("script", "style") else ["ab", "c"])
+    assert said(f"<p>a<{tag}>x</{tag} >b<{tag.upper()}>y</{tag.upper()}>c") == ["abc"]
+
+
+def test_deep_markup_takes_linear_room():
+    deep = 50_000
+    for page in ("".join(f"<div class=k{i % 7}>t{i}" for i in range(deep)), "<b>" * deep + "t<hr>" * deep, "<b>" * deep + "t</i>" * deep, "<svg>" * deep + "t",
+                 "<i><p>t" * deep, "<td><b>t" * deep):
+        tracemalloc.start()
+        start = time.process_time()
+        assert main_text(page, default_chain()) is not None
+        assert time.process_time() - start < 15 and tracemalloc.get_traced_memory()[1] < 300e6
+        tracemalloc.stop()
+
+
+def test_viterbi_and_gradient_against_enumeration(rng):
+    names = ["a", "b", "c", "d"]
+    for n in range(1, 8):
+        weights = {f: (rng.gauss(0, 1), rng.gauss(0, 1)) for f in names}
+        chain = Chain(weights, [[rng.gauss(0, 1), rng.gauss(0, 1)], [rng.gauss(0, 1), rng.gauss(0, 1)]])
+        rows = [rng.sample(names, rng.randint(1, 4)) for _ in range(n)]
+
+        def total(labels, rows=rows, chain=chain):
+            return (sum(chain.weights[f][y] for row, y in zip(rows, labels, strict=True) for f in row)
+                    + sum(chain.transitions[x][y] for x, y in zip(labels, labels[1:], strict=False)))
+
+        ways = list(itertools.product((0, 1), repeat=n))
+        assert total(chain.decode(rows)) == pytest.approx(max(map(total, ways)))
+        # Chances of label 1 and of neighbouring labels from all ways.
+        weight = [math.exp(total(w)) for w in ways]
+        ones, pairs = chances(np.array([[sum(chain.weights[f][y] for f in row) for y in (0, 1)] for row in rows]), np.array(chain.transitions))
+        for i in range(n):
+            assert ones[i, 1] == pytest.approx(sum(x for x, w in zip(weight, ways, strict=True) if w[i]) / sum(weight))
+        for x, y in itertools.product((0, 1), repeat=2):
+            want = sum(v * sum((a, b) == (x, y) for a, b in zip(w, w[1:], strict=False)) for v, w in zip(weight, ways, strict=True)) / sum(weight)
+            assert pairs[x, y] == pytest.approx(want)
+
+
 def test_chain_on_unseen_pages():
     chain, right, total = default_chain(), 0, 0
     for page, main in labelled_pages(150, seed=5):
@@ -192,7 +260,7 @@ def test_given_redirects(spark):
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "pages"):
+    for t in ("documents", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = queries.QUERIES[name](spark, str(SF))
     cursor = con.execute(queries.ORACLES[name])

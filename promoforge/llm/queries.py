@@ -158,25 +158,63 @@ def op8_html_crf(spark, sf_dir):
 
 # Verdict, host and path of the rules of op6.
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+def _dotless_sql(path: str) -> str:
+    """A path without its dot segments: the segments folded to a list."""
+    segments = f"list_transform(string_split({path}, '/')[2:], lambda s, i: CASE WHEN s IN ('.', '..') AND i = len(string_split({path}, '/')) - 1 THEN [s, ''] ELSE [s] END)"
+    steps = f"list_transform(flatten({segments}), lambda s: [s])"
+    folded = f"list_reduce(list_prepend(CAST([] AS VARCHAR[]), {steps}), lambda kept, s: CASE s[1] WHEN '.' THEN kept WHEN '..' THEN kept[:len(kept) - 1] ELSE list_concat(kept, s) END)"
+    return f"CASE WHEN regexp_matches({path}, '/\\.\\.?(/|$)') THEN '/' || array_to_string({folded}, '/') ELSE {path} END"
+
+
+def _resolved_sql(base: str, ref: str) -> str:
+    """A reference seen from a base url."""
+    whole = rf"""CASE WHEN regexp_matches({ref}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {ref}
+      WHEN {ref} LIKE '//%' THEN regexp_extract({base}, '^[^:]+:') || {ref}
+      WHEN {ref} LIKE '/%' THEN regexp_extract({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*') || {ref}
+      WHEN {ref} LIKE '#%' THEN regexp_replace({base}, '#.*$', '') || {ref}
+      WHEN {ref} LIKE '?%' THEN regexp_replace({base}, '[?#].*$', '') || {ref}
+      WHEN regexp_matches({base}, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/') THEN regexp_replace(regexp_replace({base}, '[?#].*$', ''), '/[^/]*$', '/') || {ref}
+      ELSE regexp_replace({base}, '[?#].*$', '') || '/' || {ref} END"""
+    return f"({whole})"
+
+
+_PATH = "regexp_extract(rest, '^[^/?#]*([^?#]*)', 1)"
 OP6_SQL = r"""
 WITH RECURSIVE rules(verdict, host, path) AS (
   VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), tags AS (
+  SELECT url AS src, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>', ' ', 'g'),
+                                               '(?i)<(?:link|meta|base)(?:[\s/](?:[^<>"'']|"[^"]*"|''[^'']*'')*)?>')) AS tag, generate_subscripts(tag_list, 1) AS place
+  FROM (SELECT url, html, regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>', ' ', 'g'),
+                                               '(?i)<(?:link|meta|base)(?:[\s/](?:[^<>"'']|"[^"]*"|''[^'']*'')*)?>') AS tag_list FROM pages WHERE url IS NOT NULL AND html IS NOT NULL)
+), attributes AS (
+  SELECT src, place, lower(regexp_extract(tag, '^<([A-Za-z]+)', 1)) AS kind, lower(a.name) AS name, trim(replace(trim(a.value, '"'''), '&amp;', '&'), E' \t\n\r') AS value FROM (
+    SELECT src, place, tag, unnest(list_transform(regexp_extract_all(tag, '[\s/]+([^\s=>/]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?', 1), lambda n, i: {'name': n, 'at': i,
+        'value': regexp_extract_all(tag, '[\s/]+([^\s=>/]+)(?:\s*=\s*("[^"]*"|''[^'']*''|[^\s"''>]+))?', 2)[i]})) AS a FROM tags)
+), stated AS (
+  SELECT src, place, kind, max(value) FILTER (name = 'rel') AS rel, max(value) FILTER (name = 'href') AS href, max(value) FILTER (name = 'http-equiv') AS equiv,
+         max(value) FILTER (name = 'content') AS content FROM attributes GROUP BY ALL
+), bases AS (
+  SELECT src, first(href ORDER BY place) AS ref FROM stated WHERE kind = 'base' AND href <> '' GROUP BY src
 ), refs AS (
-  SELECT url AS src, replace(unnest([
-      regexp_extract(coalesce(html, ''), '(?i)<link\s[^>]*rel\s*=\s*["'']?canonical["'']?[^>]*?\shref\s*=\s*["'']?([^"''\s>]+)', 1),
-      regexp_extract(coalesce(html, ''), '(?i)<link\s[^>]*href\s*=\s*["'']?([^"''\s>]+)["'']?[^>]*?\srel\s*=\s*["'']?canonical', 1),
-      regexp_extract(coalesce(html, ''), '(?i)<meta\s[^>]*http-equiv\s*=\s*["'']?refresh["'']?[^>]*?url\s*=\s*["'']?([^"''\s>]+)', 1)]), '&amp;', '&') AS ref FROM pages WHERE url IS NOT NULL
+  SELECT src, CASE WHEN list_contains(regexp_split_to_array(lower(rel), '\s+'), 'canonical') THEN href
+                   WHEN lower(equiv) = 'refresh' THEN regexp_extract(content, '(?is)^[\s\d.]*[;,]?\s*(?:url\s*=\s*)?["'']?\s*(.*?)\s*["'']?$', 1) END AS ref
+  FROM stated WHERE kind <> 'base'
+), asked AS (
+  SELECT 'base' AS what, src, src AS base, ref FROM bases
+  UNION ALL SELECT 'link', r.src, coalesce({resolved_base}, r.src), r.ref FROM refs r LEFT JOIN bases b ON b.src = r.src WHERE r.ref <> ''
 ), links AS (
-  SELECT src, CASE WHEN regexp_matches(ref, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN ref
-                   WHEN ref LIKE '//%' THEN regexp_extract(src, '^([^:]*)://', 1) || ':' || ref
-                   WHEN ref LIKE '/%' THEN regexp_extract(src, '^([^:]*://[^/?#]*)', 1) || ref END AS dst FROM refs WHERE ref <> ''
+  SELECT DISTINCT src, {resolved_link} AS dst FROM asked WHERE what = 'link'
 ), urls AS (
   SELECT url, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         {dotless} AS dotless,
          array_to_string(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]*|ref|fbclid|gclid)=')), '&') AS query
   FROM (SELECT url, CASE WHEN contains(coalesce(url, ''), '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest
-        FROM (SELECT url FROM pages UNION SELECT src FROM links UNION SELECT dst FROM links WHERE dst IS NOT NULL))
+        FROM (SELECT url FROM pages UNION SELECT src FROM links UNION SELECT dst FROM links WHERE contains(dst, '://')))
 ), keyed AS (
-  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS key FROM urls
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^(www|m)\.', '') || regexp_replace(dotless, '/+$', '') || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS key FROM urls
 ), ruled AS (
   SELECT url, arg_max(rule, size) AS rule, arg_max(verdict, size) AS verdict FROM (
     SELECT k.url, r.host || r.path AS rule, length(r.host || r.path) AS size, r.verdict
@@ -194,7 +232,7 @@ WITH RECURSIVE rules(verdict, host, path) AS (
 )
 SELECT p.page_id, k.host, k.path, r.rule, coalesce(r.verdict, s.carried, 'allow') AS verdict
 FROM pages p JOIN keyed k ON k.url IS NOT DISTINCT FROM p.url LEFT JOIN placed c ON c.url = p.url LEFT JOIN ruled r ON r.url = p.url LEFT JOIN spread s ON s.component = c.component
-"""
+""".replace("{resolved_base}", _resolved_sql("b.src", "b.ref")).replace("{resolved_link}", _resolved_sql("base", "ref")).replace("{dotless}", _dotless_sql(_PATH))
 
 
 @query("op6_redirects", OP6_SQL)

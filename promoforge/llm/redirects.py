@@ -1,7 +1,7 @@
 """URL filters with redirect equivalence.
 
 Rules allow or block a host with its subdomains under a path; the longest rule that fits a url decides. Urls are aliases if
-they differ only in scheme, a leading ``www.`` or ``m.``, the fragment, tracking parameters or slashes at the end of the path, or if a redirect (a
+they differ only in scheme, a leading ``www.`` or ``m.``, the fragment, tracking parameters, dot segments or slashes at the end of the path, or if a redirect (a
 refresh in the page, or a given edge) or a canonical link leads from one to the other. Connected components over these edges carry decisions to
 aliases: a url without a rule of its own is allowed if its component holds an allowed url, else blocked if it holds a blocked
 one, else allowed. An explicit rule always has precedence for its own url.
@@ -10,7 +10,7 @@ Only built-in column functions and joins. The rules are joined on host suffixes,
 broadcast is left to Spark.
 
 Defined cases: null urls and urls without ``://`` have empty host and path, no rule and no aliases, and are allowed; of equal rules that
-both allow and block, allow holds; repeated pages get equal verdicts; references that are neither absolute nor start with a slash make no edge; empty
+both allow and block, allow holds; repeated pages get equal verdicts; references to other schemes (``mailto:``) make no edge; empty
 tables give empty results. Only the named columns are read.
 """
 
@@ -19,14 +19,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from promoforge.llm.common import ascii_lower, let
+from promoforge.functions.text import unescape
+from promoforge.llm.common import BLANKS, ascii_lower, let
 from promoforge.llm.components import connected_components
 from promoforge.session import written_once
+from promoforge.sources.links import resolve, visible_markup, without_dots
 
 TRACKING = "^(utm_[a-z]*|ref|fbclid|gclid)="
-# Target of a canonical link (either order of the attributes) and of a refresh.
-CANONICAL = (r"""(?i)<link\s[^>]*rel\s*=\s*["']?canonical["']?[^>]*?\shref\s*=\s*["']?([^"'\s>]+)""", r"""(?i)<link\s[^>]*href\s*=\s*["']?([^"'\s>]+)["']?[^>]*?\srel\s*=\s*["']?canonical""")
-REFRESH = r"""(?i)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["']?[^>]*?url\s*=\s*["']?([^"'\s>]+)"""
+# Tags that may say where a page is to be found, with quoted values taken whole.
+_TAGS = r"""(?i)<(?:link|meta|base)(?=[\s/>])(?:[^<>"']|"[^"]*"|'[^']*')*+>"""
+_REFRESH_URL = r"""(?is)^[\s\d.]*[;,]?\s*(?:url\s*=\s*)?["']?\s*(.*?)\s*["']?$"""
+
+
+def attribute(tag: Column, name: str) -> Column:
+    """Value of an attribute of a tag, quoted or not; empty without it.
+
+    Attributes are read one after the other, so what stands in another's value is none.
+    """
+    before = r"""(?is)^<[a-z]+(?:[\s/]+(?!NAME[\s=/>])[^\s=>/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+[\s/]+NAME\s*=\s*"""
+    value = F.regexp_extract(tag, before.replace("NAME", name) + r"""("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.btrim(value, F.lit("\"'"))
 
 
 def _rest(url: Column) -> Column:
@@ -48,22 +60,33 @@ def alias_key(url: Column) -> Column:
     query = F.regexp_extract(_rest(url), "^[^?#]*\\?([^#]*)", 1)
     kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(TRACKING)), "&")
     host = F.regexp_replace(host_of(url), "^(www|m)\\.", "")
-    return F.when(host_of(url) != "", F.concat(host, F.regexp_replace(path_of(url), "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
-
-
-def _absolute(reference: Column, url: Column) -> Column:
-    """The url a reference leads to; null if it is none or is relative to a folder."""
-    scheme = F.regexp_extract(url, "^([^:]*)://", 1)
-    return (F.when(reference.rlike("^[A-Za-z][A-Za-z0-9+.-]*://"), reference).when(reference.startswith("//"), F.concat(scheme, F.lit(":"), reference))
-            .when(reference.startswith("/"), F.concat(scheme, F.lit("://"), host_of(url), reference)))
+    # Dot segments are resolved only where there are some.
+    path = F.when(path_of(url).rlike(r"/\.\.?(?:/|$)"), path_of(without_dots(url))).otherwise(path_of(url))
+    return F.when(host_of(url) != "", F.concat(host, F.regexp_replace(path, "/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise(F.lit(""))))
 
 
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): redirects and canonical links that the pages themselves state."""
-    page = F.coalesce(F.col(html_col), F.lit(""))
-    found = F.filter(F.array(*[F.regexp_extract(page, p, 1) for p in (*CANONICAL, REFRESH)]), lambda x: x != "")
-    links = pages.where(F.col(url_col).isNotNull() & page.rlike("(?i)canonical|refresh")).select(F.col(url_col).alias("src"), F.explode(found).alias("ref"))
-    return links.select("src", _absolute(F.replace("ref", F.lit("&amp;"), F.lit("&")), F.col("src")).alias("dst")).where("dst is not null")
+    """(src, dst): refreshes and canonical links that the pages themselves state, outside comments, scripts, styles and templates.
+
+    References are resolved against the page's ``base``, else against its url.
+    """
+    page = F.col(html_col)
+    stating = pages.where(F.col(url_col).isNotNull() & page.rlike("(?i)canonical|refresh"))
+    tags = stating.select(F.col(url_col).alias("src"), F.regexp_extract_all(visible_markup(page), F.lit(_TAGS), F.lit(0)).alias("tags"))
+    base = F.coalesce(F.get(F.filter("tags", lambda t: t.rlike(r"(?is)^<base\s.*?href\s*=")), F.lit(0)), F.lit(""))
+    read = tags.select("src", F.explode("tags").alias("tag"), base.alias("base_tag")).select(
+        "src", attribute(F.col("base_tag"), "href").alias("base"), *[attribute(F.col("tag"), n).alias(n) for n in ("rel", "href", "http-equiv", "content")])
+    canonical = F.exists(F.split(F.lower("rel"), f"[{BLANKS}]+"), lambda r: r == "canonical")
+    refresh = F.lower("http-equiv") == "refresh"
+    links = read.select("src", "base", F.when(canonical, F.col("href")).when(refresh, F.col("content")).alias("raw"), (refresh & ~canonical).alias("refresh")).where("raw <> ''")
+
+    # References are decoded and resolved once, as bound values: both are large expressions.
+    def decoded(raw: Column, refresh: Column) -> Column:
+        return let(F.btrim(unescape(raw), F.lit(BLANKS)), lambda v: F.when(refresh, F.regexp_extract(v, _REFRESH_URL, 1)).otherwise(v))
+
+    base = F.when(F.col("base") == "", F.col("src")).otherwise(let(decoded(F.col("base"), F.lit(False)), lambda v: resolve(F.col("src"), v)))
+    target = let(decoded(F.col("raw"), F.col("refresh")), lambda v: F.when(v != "", let(base, lambda b: resolve(b, v))))
+    return links.select("src", target.alias("dst")).where(F.col("dst").contains("://"))
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:

@@ -232,7 +232,15 @@ PAGES = [
     (1, "http://a.example.org/es/1", None), (2, "https://www.b.net/x/?utm_source=f#top", ""), (3, "http://b.net/x", "<link rel=canonical href='http://a.example.org/es/1'>"),
     (4, "https://c.net/y", '<meta http-equiv="refresh" content="0; url=/z">'), (5, "https://m.c.net/z/", '<LINK HREF="//d.com/fr/9" REL="canonical">'),
     (6, "no url", "x"), (7, None, None), (8, "ftp://EXAMPLE.org/en/12?q#f", "<p>"), (8, "ftp://EXAMPLE.org/en/12?q#f", "<p>"), (None, "http://notexample.org.de/", None),
-    (9, "http://f.de/1", "<link rel='canonical' href='http://b.net/x?ref=1'><meta http-equiv=refresh content='1;URL=https://g.de/'>"), (10, "https://g.de", None), (11, "x://com/de/a", None)]
+    (9, "http://f.de/1", "<link rel='canonical' href='http://b.net/x?ref=1'><meta http-equiv=refresh content='1;URL=https://g.de/'>"), (10, "https://g.de", None), (11, "x://com/de/a", None),
+    # Relative, dotted and quoted references, a base, other attributes, and links that are none.
+    (20, "http://h.net/a/b", "<link rel='canonical' href='../c/./d'>"), (21, "http://h.net/c/d/", '<link data-x=1 title="rel=x href=y" href="../../a/../e" rel="alternate canonical"/>'),
+    (22, "http://h.net/e", "<link rel=canonical href=http://example.org/es/k>"), (23, "http://h.net/c/e", None), (24, "http://h.net/q/../w/.", None),
+    (25, "http://i.net/w/", "<!-- <link rel=canonical href=http://example.org/es/9> --><script>'<link rel=canonical href=\\'http://example.org/es/9\\'>'</script>"),
+    (26, "http://j.net/", "<link rel=stylesheet href=http://example.org/es/9><a rel=canonical href=http://example.org/es/9><meta name=refresh content='0;url=http://example.org/es/9'>"),
+    (27, "http://k.net/x/y?z#f", "<base target=_top><base href='/v/'><link rel=canonical href='?page=2&amp;a=b'>"), (28, "http://k.net/v/?page=2&a=b", '<meta http-equiv="Refresh" content="5, http://example.org/es/">'),
+    (29, "http://l.net/a", "<meta http-equiv=refresh content='3'><meta content='0; URL=\"b\"' http-equiv=REFRESH>"), (30, "http://l.net/b", "<link rel=canonical href=mailto:x@y.de>"),
+    (31, "http://m.net", "<link rel=canonical href=n>"), (32, "http://m.net/n", "<link href='//example.org/es/z' rel=CANONICAL>"), (33, "http://o.net/#x", "<link rel=canonical href=#y><link rel=canonical href=''>")]
 
 
 def test_urls_equal_their_sql(spark):
@@ -245,6 +253,7 @@ def test_urls_equal_their_sql(spark):
     assert got == want
     verdict = {r.id: r.verdict for r in judge_urls(frame, rules_table(spark, queries.URL_RULES)).collect()}
     assert [verdict[i] for i in (1, 2, 3, 4, 5, 9, 10)] == ["block", "block", "block", "allow", "allow", "block", "block"]
+    assert [i for i in range(20, 34) if verdict[i] == "block"] == [20, 21, 22, 27, 28, 31, 32]
     assert judge_urls(frame.limit(0), rules_table(spark, queries.URL_RULES)).count() == 0
 
 

@@ -134,8 +134,9 @@ def _align(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, starts, ends = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("key", "h", "n", "eh"))
-            for key, later, words, earlier in zip(*columns, strict=True):
+            # A pair at a time: as Python numbers the lines take many times their room in the batch.
+            for row in range(batch.num_rows):
+                key, later, words, earlier = (batch.column(c)[row].as_py() for c in ("key", "h", "n", "eh"))
                 for a, b in common_blocks(earlier, later, words, min_words):
                     keys.append(key)
                     starts.append(a)
@@ -176,8 +177,10 @@ def shortest_runs(lines: list[int], words: list[int], known: set[int], min_words
 def _runs(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("h", "n", "known"))
-            runs = [np.array([*shortest_runs(h, n, set(known), min_words)], np.uint64).view(np.int64) for h, n, known in zip(*columns, strict=True)]
+            runs = []
+            for row in range(batch.num_rows):
+                h, n, known = (batch.column(c)[row].as_py() for c in ("h", "n", "known"))
+                runs.append(np.array([*shortest_runs(h, n, set(known), min_words)], np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("place"), pa.array(runs, pa.list_(pa.int64()))], ["key", "place", "runs"])
 
     return run

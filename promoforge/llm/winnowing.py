@@ -29,8 +29,8 @@ SPAN = WINDOW - K + 1
 
 def item_words(text: Column) -> Column:
     """ASCII letters and digits and everything outside ASCII make words; A-Z count as a-z."""
-    trimmed = F.regexp_replace(ascii_lower(F.coalesce(text, F.lit(""))), "^[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+|[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+$", "")
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"))
+    # Only the first and the last part can be empty; trimming them off first would try each run of separators once for each place in it.
+    return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+", -1), "")
 
 
 def grams(hashes: Column, k: int) -> Column:

@@ -49,9 +49,9 @@ def main():
     spark.sparkContext.setLogLevel("ERROR")
     queries, results = all_queries(), {}
 
-    store = CatalogStore(spark, work_path(spark, "bench-catalog"), buckets=8)
+    store = CatalogStore(spark, work_path(spark, "bench-catalog"), shards=8, buckets=8)
     start = time.perf_counter()
-    store.commit(catalog(spark, SF_DIR), spark.createDataFrame([], SOURCE))
+    store.commit(spark.createDataFrame([], SOURCE), catalog(spark, SF_DIR))
     results["store_catalog"] = round(time.perf_counter() - start, 3)
     rows = store.read().count()
     stored = store.read()

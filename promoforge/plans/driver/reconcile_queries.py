@@ -11,7 +11,7 @@ from promoforge.operators import reconcile as R
 from promoforge.operators.reports import availability
 from promoforge.plans.driver.registry import query
 from promoforge.plans.driver.views import NOW_SQL, as_catalog, now, table, text
-from promoforge.plans.publish import publish
+from promoforge.plans.publish import publish, publish_scans
 from promoforge.schemas import OFFER, SCAN, SOURCE
 from promoforge.session import work_path, written_once
 from promoforge.sources.catalog import CatalogStore
@@ -117,7 +117,7 @@ def round_sql(old: str, batch: str, out: str, at: int) -> str:
   SELECT j.*, NOT is_new AND v.complete AND campaign_id NOT IN ('cmp-10', 'cmp-11', 'cmp-12')
               AND (missing_s IS NULL OR {at} - missing_s >= 1800) AS absent
   FROM {out}_joined j JOIN {out}_verdict v USING (source_id)),
-{out} AS (
+{out} AS MATERIALIZED (
   SELECT source_id, id, CASE WHEN is_new THEN c ELSE campaign_id END AS campaign_id, CASE WHEN is_new THEN t ELSE title END AS title,
          CASE WHEN is_new THEN e ELSE cents END AS cents,
          CASE WHEN is_new THEN coalesce(l, loyalty) ELSE loyalty END AS loyalty,
@@ -217,13 +217,35 @@ def two_scans(spark, sf_dir):
 @query("catalog_revisions", TWO_ROUNDS_SQL)
 def catalog_revisions(spark, sf_dir):
     """Two scans published into a stored catalog, the second one twice."""
-    store = CatalogStore(spark, work_path(spark, "catalog"), buckets=4)
+    store = CatalogStore(spark, work_path(spark, "catalog"), shards=4, buckets=4)
     for incoming, scan in two_scans(spark, sf_dir):
         publish(store, incoming, scan, last_first("_p1", "_p2"))
     publish(store, incoming, scan, last_first("_p1", "_p2"))
     return revision_columns(store.read())
 
 
+# Offers of the scans of one batch, and when they were made: two of them are closer than absences count.
+MANY = [("true", 14400), ("l_partkey % 4 <> 0", 10800), ("l_partkey % 3 = 0", 10200), ("l_suppkey % 50 = 0", 5400), ("l_returnflag = 'R'", 3600), ("l_linestatus = 'O'", 0)]
+
+
+@query("many_scans", f"""WITH {LINES_SQL}, nothing AS (
+  SELECT source_id, id, campaign_id, title, cents, loyalty, packs, first_s, false AS withdrawn, 0 AS missing, NULL::BIGINT AS missing_s
+  FROM lines WHERE false),
+{", ".join(round_sql(f"r{i - 1}" if i else "nothing", rows, f"r{i}", NOW_S - ago) for i, (rows, ago) in enumerate(MANY))}
+SELECT {REVISION_COLUMNS_SQL} FROM r{len(MANY) - 1}""")
+def many_scans(spark, sf_dir):
+    """Six scans of every source in one batch and one commit, as if they had come one after the other."""
+    rows = lines(spark, sf_dir).withColumnsRenamed({"_p1": "l_partkey", "_p2": "l_suppkey", "_flag": "l_returnflag", "_status": "l_linestatus"})
+    made = [F.struct(F.lit(f"scan-{i}").alias("scan_id"), (now() - F.expr(f"INTERVAL {ago} SECONDS")).alias("scan_at")) for i, (_, ago) in enumerate(MANY)]
+    named = F.filter(F.array(*[F.when(F.expr(wanted), s["scan_id"]) for (wanted, _), s in zip(MANY, made, strict=True)]), lambda s: s.isNotNull())
+    headers = scans(spark, sf_dir).drop("scan_id", "scan_at").withColumn("made", F.explode(F.array(*made))).select("*", "made.*").drop("made")
+    store = CatalogStore(spark, work_path(spark, "catalog"), shards=4, buckets=4)
+    publish_scans(store, rows.withColumn("scan_id", F.explode(named)), headers, last_first("l_partkey", "l_suppkey"))
+    if store.revision() != 1:
+        raise AssertionError("one batch is one commit")
+    return revision_columns(store.read())
+
+
 def write_batches(spark, sf_dir, inbox):
     """The same scans as files a stream picks up."""
     fields = F.struct(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in OFFER.fields])
@@ -240,7 +262,7 @@ def write_batches(spark, sf_dir, inbox):
 def stream_reconcile(spark, sf_dir):
     """Both scans arrive as files in one micro-batch and are applied in scan order."""
     folder = work_path(spark, "stream")
-    store = CatalogStore(spark, f"{folder}/catalog", buckets=4)
+    store = CatalogStore(spark, f"{folder}/catalog", shards=4, buckets=4)
     write_batches(spark, sf_dir, f"{folder}/inbox")
     ingest(spark, f"{folder}/inbox", store, f"{folder}/checkpoint").awaitTermination()
     return revision_columns(store.read())
@@ -251,7 +273,7 @@ SELECT source_id, count(id) FILTER (NOT withdrawn AND first_s <= {NOW_S}) AS see
 def stream_availability(spark, sf_dir):
     """T5: counts per source recomputed from the revision a stream left behind."""
     folder = work_path(spark, "stream")
-    store = CatalogStore(spark, f"{folder}/catalog", buckets=4)
+    store = CatalogStore(spark, f"{folder}/catalog", shards=4, buckets=4)
     write_batches(spark, sf_dir, f"{folder}/inbox")
     ingest(spark, f"{folder}/inbox", store, f"{folder}/checkpoint").awaitTermination()
     # Ends are taken off: the point is which offers are listed, not when they end.

@@ -128,7 +128,7 @@ def latest_capture(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(
         text("src-", F.col("o_custkey") % 10).alias("source_id"), text("https://", F.col("o_custkey")).alias("url"),
         F.col("o_orderdate").cast("timestamp").alias("fetched_at"), F.col("o_orderkey").alias("capture_id"))
-    return C.latest_captures(rows).select("source_id", "url", "capture_id", F.unix_seconds("fetched_at").alias("fetched_s"))
+    return C.latest_captures(rows, stored=True).select("source_id", "url", "capture_id", F.unix_seconds("fetched_at").alias("fetched_s"))
 
 
 @query("unchanged_captures", """WITH known AS (SELECT doc_id, sha256(text) AS digest FROM documents WHERE lang <> 'en')

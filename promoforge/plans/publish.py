@@ -8,29 +8,34 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from promoforge.operators import reconcile as R
+from promoforge.operators.scan_fold import fold_scans, scans_in_turn
 from promoforge.session import written_once
 from promoforge.sources.catalog import CatalogStore
 
 
-def publish(
-    store: CatalogStore, incoming: DataFrame, scans: DataFrame, position: Sequence[Column],
-    manifests: DataFrame | None = None,
+def publish_scans(
+    store: CatalogStore, incoming: DataFrame, scans: DataFrame, position: Sequence[Column], manifests: DataFrame | None = None,
 ) -> DataFrame | None:
-    """Commit the next revision; returns the scan metrics, which the revision holds as well.
+    """Commit what all ``scans`` of one batch leave, in one revision; returns the scan metrics, which the store holds as well.
 
-    Of several scans of one source the newest counts and the offers are taken to be its. Only the buckets of scanned sources are read and rewritten. Superseded scans change
-    nothing; if none is left there is no new revision.
+    ``incoming`` names the scan of each offer (``scan_id``). The scans of a source count in the order they were made. Only the shards of scanned
+    sources are read and rewritten. Superseded and repeated scans change nothing; if none is left there is no new revision.
     """
     sources = store.read_sources()
-    allowed = R.fresh_scans(R.newest_scans(scans), sources)
-    touched = {r.bucket for r in allowed.select(store.bucket_column().alias("bucket")).distinct().collect()}
+    allowed = written_once(scans_in_turn(scans, sources), "allowed")
+    touched = [r.shard for r in allowed.select(store.shard_column().alias("shard")).distinct().collect()]
     if not touched:
         return None
-    catalog = store.read(buckets=touched)
-    batch = incoming.join(allowed.select("source_id"), "source_id", "left_semi")
-    copies = written_once(R.collapse_copies(batch, position), "copies")
-    scanned = written_once(R.verdicts(allowed, copies, catalog), "verdicts")
-    offers = R.next_catalog(catalog, R.accepted_offers(copies), scanned)
-    metrics = R.scan_metrics(scanned)
-    store.commit(offers, R.next_sources(sources, scanned, manifests), touched, metrics)
+    kept, seen, verdicts = fold_scans(store.read(shards=touched), incoming, allowed, position)
+    metrics = R.scan_metrics(verdicts)
+    store.commit(R.sources_after(sources, verdicts, manifests), seen, kept, metrics)
     return metrics
+
+
+def publish(
+    store: CatalogStore, incoming: DataFrame, scans: DataFrame, position: Sequence[Column], manifests: DataFrame | None = None,
+) -> DataFrame | None:
+    """As :func:`publish_scans`, for offers that do not name their scan: of several scans of one source the newest counts and the offers are taken to be its."""
+    newest = R.newest_scans(scans)
+    named = incoming.join(newest.select("source_id", "scan_id"), "source_id")
+    return publish_scans(store, named, newest, position, manifests)

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 from pyspark.sql.streaming import StreamingQuery
 
-from promoforge.plans.publish import publish
+from promoforge.plans.publish import publish_scans
 from promoforge.schemas import OFFER, SCAN
+from promoforge.session import written_once
 from promoforge.sources.catalog import CatalogStore
 
 # One row per offer with the header of its scan; a scan that found nothing has one row without.
@@ -17,30 +17,19 @@ BATCH = T.StructType([T.StructField("scan", SCAN), T.StructField("pos", T.LongTy
 
 
 def apply_batch(store: CatalogStore, batch: DataFrame) -> None:
-    """Reconcile the scans of one micro-batch, a source's scans in the order they were made.
+    """Reconcile all scans of one micro-batch at once, a source's scans in the order they were made.
 
-    Repeats and late scans fall to the fence of :func:`publish`, so a replayed micro-batch
+    Repeats and late scans fall to the fence of :func:`publish_scans`, so a replayed micro-batch
     after a failure changes nothing.
     """
-    batch = batch.persist()
-    try:
-        turn = Window.partitionBy("source_id").orderBy("scan_at", "scan_id")
-        scans = batch.select("scan.*").distinct().withColumn("turn", F.row_number().over(turn)).persist()
-        turns = scans.agg(F.coalesce(F.max("turn"), F.lit(0)).alias("n")).first().n
-        offers = batch.where(F.col("offer").isNotNull()).select(F.col("scan.scan_id").alias("_scan_id"), "pos", "offer.*")
-        for n in range(1, turns + 1):
-            current = scans.where(F.col("turn") == n).drop("turn")
-            ids = current.select(F.col("source_id"), F.col("scan_id").alias("_scan_id"))
-            incoming = offers.join(ids, ["source_id", "_scan_id"], "left_semi")
-            publish(store, incoming, current, [F.col("pos")])
-        scans.unpersist()
-    finally:
-        batch.unpersist()
-
-
-def ingest(spark: SparkSession, inbox: str, store: CatalogStore, checkpoint: str, **trigger) -> StreamingQuery:
-    """Watch ``inbox`` for Parquet scan batches; one file (or an atomic move) per scan."""
-    stream = spark.readStream.schema(BATCH).parquet(inbox)
+    rows = written_once(batch, "micro-batch")
+    offers = rows.where(F.col("offer").isNotNull()).select(F.col("scan.scan_id").alias("scan_id"), "pos", "offer.*")
+    publish_scans(store, offers, rows.select("scan.*").distinct(), [F.col("pos")])
+
+
+def ingest(spark: SparkSession, inbox: str, store: CatalogStore, checkpoint: str, max_files: int = 10_000, **trigger) -> StreamingQuery:
+    """Watch ``inbox`` for Parquet scan batches; one file (or an atomic move) per scan, ``max_files`` of them to a micro-batch."""
+    stream = spark.readStream.schema(BATCH).option("maxFilesPerTrigger", max_files).parquet(inbox)
     return (
         stream.writeStream.foreachBatch(lambda batch, _: apply_batch(store, batch))
         .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -1,3 +1,4 @@
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -9,7 +10,7 @@ from promoforge.operators.absence import absence_state
 from promoforge.operators.facets import facet_counts
 from promoforge.operators.ranking import running
 from promoforge.operators.reports import spread_sample
-from promoforge.plans.publish import publish
+from promoforge.plans.publish import publish, publish_scans
 from promoforge.plans.search import SearchRequest, facets, result_page
 from promoforge.schemas import OFFER, SCAN, SOURCE
 from promoforge.sources.catalog import CatalogStore
@@ -45,7 +46,7 @@ def run(spark, store, rows, scan_id, at, completeness="complete"):
 
 
 def test_two_spaced_complete_scans_withdraw(spark, tmp_path):
-    store = CatalogStore(spark, str(tmp_path), 2)
+    store = CatalogStore(spark, str(tmp_path), 2, 3)
     run(spark, store, [(1, 100, True), (2, 200, None)], "s1", NOW)
     state = run(spark, store, [(1, 110, None)], "s2", NOW + timedelta(hours=1))
     assert state["o2"].missing_count == 1 and not state["o2"].withdrawn
@@ -62,7 +63,7 @@ def test_two_spaced_complete_scans_withdraw(spark, tmp_path):
 
 
 def test_superseded_and_repeated_scans_change_nothing(spark, tmp_path):
-    store = CatalogStore(spark, str(tmp_path), 2)
+    store = CatalogStore(spark, str(tmp_path), 2, 3)
     run(spark, store, [(1, 100, None)], "s1", NOW)
     before = store.revision()
     run(spark, store, [(1, 999, None)], "s0", NOW - timedelta(hours=1))
@@ -71,7 +72,7 @@ def test_superseded_and_repeated_scans_change_nothing(spark, tmp_path):
 
 
 def test_conflicting_copies_are_dropped_and_make_the_scan_partial(spark, tmp_path):
-    store = CatalogStore(spark, str(tmp_path), 2)
+    store = CatalogStore(spark, str(tmp_path), 2, 3)
     run(spark, store, [(1, 100, None), (2, 200, None)], "s1", NOW)
     state = run(spark, store, [(1, 100, None), (1, 90, None)], "s2", NOW + timedelta(hours=1))
     assert state["o1"].price.advertised_amount_cents == 100 and state["o2"].missing_count == 0
@@ -87,6 +88,68 @@ def test_collapse_guard(spark):
     assert stored.agg(F.sum("missing_count")).first()[0] == 0 and sources.first().completeness == "partial"
 
 
+def plain_scans(catalog, scans, batches):
+    """One scan after the other, an offer at a time."""
+    done, verdicts = [], {}
+    for scan_id, at, complete, campaigns in sorted(scans, key=lambda s: (s[1], s[0])):
+        if done and (at <= done[-1][1] or scan_id == done[-1][0]):
+            continue
+        rows, conflicts = {}, set()
+        for offer_id, cents, loyalty, campaign in batches.get(scan_id, ()):
+            if offer_id in rows and rows[offer_id][:2] != (cents, loyalty):
+                conflicts.add(offer_id)
+            rows[offer_id] = (cents, loyalty, campaign)
+        for c in conflicts:
+            del rows[c]
+        previous = sum(o["campaign"] in campaigns and not o["withdrawn"] for o in catalog.values())
+        complete = complete and not conflicts and not (previous > 20 and len(rows) < previous / 4)
+        for i, (cents, loyalty, campaign) in rows.items():
+            old = catalog.get(i)
+            catalog[i] = {"cents": cents, "loyalty": loyalty if loyalty is not None else old and old["loyalty"], "campaign": campaign, "withdrawn": False, "missing": 0, "last": None,
+                          "first": old["first"] if old else at}
+        for i, o in catalog.items():
+            if complete and i not in rows and o["campaign"] in campaigns and (o["last"] is None or (at - o["last"]).total_seconds() >= 1800):
+                o["missing"], o["last"] = o["missing"] + 1, at
+                o["withdrawn"] = o["withdrawn"] or o["missing"] >= 2
+        done.append((scan_id, at))
+        verdicts[scan_id] = (previous, complete)
+    return verdicts
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_fifty_scans_of_one_source_in_one_commit(spark, tmp_path, seed):
+    """Collapses, conflicts, moved campaigns, absences close together, repeats and late scans."""
+    rng = random.Random(seed)
+    store, catalog = CatalogStore(spark, str(tmp_path), 2, 3), {}
+    at, number = NOW, 0
+    for count in (1, 50, 4):
+        scans, batches = [], {}
+        for _ in range(count):
+            at += timedelta(seconds=rng.choice((0, 600, 1800, 5000)))
+            scan_id = f"s{number if rng.random() < 0.95 else number - 1}"
+            number += 1
+            share = rng.choice((0.0, 0.1, 0.2, 0.7, 0.9, 1.0)) if number > 1 else 1.0
+            rows = [(f"o{i}", 100 + rng.choice((0, 0, 5)), rng.choice((None, True, False)), rng.choice("ccd")) for i in range(40) if rng.random() < share]
+            if rng.random() < 0.1 and rows:
+                rows.append((rows[0][0], 1, None, "c"))
+            if scan_id not in batches:
+                batches[scan_id] = rows
+                scans.append((scan_id, at, rng.random() < 0.8, rng.choice((["c"], ["c", "d"], ["d"]))))
+        flat = [(int(i[1:]), cents, loyalty, scan_id, campaign, k, moment) for scan_id, moment, _, _ in scans for k, (i, cents, loyalty, campaign) in enumerate(batches[scan_id])]
+        extra = spark.createDataFrame([(n, *f[3:]) for n, f in enumerate(flat)], "pos bigint, scan_id string, c string, k int, moment timestamp")
+        incoming = offers(spark, [f[:3] for f in flat]).join(extra, "pos").withColumns({"campaign_id": F.col("c"), "first_seen_at": F.col("moment")}).drop("c", "moment")
+        headers = spark.createDataFrame([("src", s, a, "complete" if full else "partial", 1, 0, 1, 0, c) for s, a, full, c in scans], SCAN)
+        before = store.revision()
+        publish_scans(store, incoming, headers, [F.col("k")])
+        verdicts = plain_scans(catalog, [s for s in scans if not catalog or s[1] > newest], batches) if catalog else plain_scans(catalog, scans, batches)
+        newest = max([s[1] for s in scans])
+        assert store.revision() == before + bool(verdicts)
+        got = {r.id: (r.price.advertised_amount_cents, r.conditions.loyalty_required, r.campaign_id, r.withdrawn, r.missing_count, r.last_missing_at, r.first_seen_at) for r in store.read().collect()}
+        assert got == {i: (o["cents"], o["loyalty"], o["campaign"], o["withdrawn"], o["missing"], o["last"], o["first"]) for i, o in catalog.items()}
+        metrics = {r.scan_id: r.completeness == "complete" for r in store.read_metrics().collect()}
+        assert all(metrics[s] == complete for s, (_, complete) in verdicts.items())
+
+
 def store_schema():
     from promoforge.schemas import CATALOG
 

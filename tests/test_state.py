@@ -184,6 +184,24 @@ def test_absence_fold_batch_and_stream_agree_with_a_plain_loop(spark, seed):
         assert state == want[key]
 
 
+@pytest.mark.parametrize("spread", [86_400, 7_300, 40_000_000])
+def test_absence_chunks_with_one_dense_key(spark, spread):
+    """A key with most rows, in one chunk or over thousands, among keys without absences and a null key."""
+    rng = np.random.default_rng(5)
+    instants = np.unique(rng.integers(0, spread, 30_000)) * 1_000_000
+    rows = [("dense", int(us)) for us in instants] + [(None, int(us)) for us in instants[::7]] + [(f"k{i}", int(us)) for i, us in enumerate(instants[::500])]
+    df = spark.createDataFrame(rows, "key string, us bigint").select("key", F.timestamp_micros("us").alias("ts"), F.lit(False).alias("seen"))
+    df = df.unionByName(spark.createDataFrame([("quiet", True)], "key string, seen boolean").withColumn("ts", F.timestamp_micros(F.lit(1))))
+    state = absence_state(df, ["key"], F.col("ts"), F.col("seen"))
+    got = {r.key: (r.missing_count, r.last_missing_us) for r in state.collect()}
+    want = {k: (0, None) for k, _ in rows} | {"quiet": (0, None)}
+    for key, us in rows:
+        count, last = want[key]
+        if last is None or us - last >= 1_800_000_000:
+            want[key] = (count + 1, us)
+    assert got == want and "collect_list" not in state._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_facets_add_up(spark):
     rows = offers(spark, [(i, 100 + i, None) for i in range(40)]).withColumns({
         "withdrawn": F.lit(False), "missing_count": F.lit(0), "last_missing_at": F.lit(None).cast("timestamp"),

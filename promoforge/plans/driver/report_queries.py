@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import functions as F
 
 from promoforge.operators import reports
@@ -85,7 +87,20 @@ def retention(spark, sf_dir):
         "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("fetched_at"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("bytes"))
     end = F.lit("2001-08-01 00:00:00").cast("timestamp")
     order = [F.desc("fetched_at"), F.desc("o_orderkey")]
-    return reports.retention(rows, end, F.col("bytes"), order).select("o_orderkey", "running_total", "dropped")
+    return reports.retention_totals(rows, end, F.col("bytes"), order).select("o_orderkey", "running_total", "dropped")
+
+
+@query("retention_bodies", """WITH held AS (
+  SELECT o_orderkey, o_orderdate, CASE WHEN o_orderkey % 13 > 0 THEN CAST(round(o_totalprice * 100) AS BIGINT) ELSE 0 END AS bytes FROM orders WHERE o_orderstatus <> 'P'),
+placed AS (SELECT *, sum(bytes) OVER (ORDER BY o_orderdate DESC, o_orderkey DESC ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM held)
+SELECT o_orderkey, total > 524288000 OR o_orderdate < TIMESTAMP '2001-07-25 00:00:00' AS dropped FROM placed""")
+def retention_bodies(spark, sf_dir):
+    """Captures whose body is gone take no part; some files are missing and weigh nothing."""
+    rows = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("fetched_at"), F.when(F.col("o_orderstatus") != "P", F.lit("body")).alias("body"),
+        F.when(F.col("o_orderkey") % 13 > 0, F.round(F.col("o_totalprice") * 100).cast("bigint")).alias("bytes"))
+    end = datetime.datetime(2001, 8, 1, tzinfo=datetime.UTC)
+    return reports.retention(rows, end, F.col("bytes"), F.col("body"), [F.desc("fetched_at"), F.desc("o_orderkey")]).select("o_orderkey", "dropped")
 
 
 @query("spread_sample", f"""WITH {LISTINGS_SQL}, placed AS (

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from promoforge.operators import reconcile as R
 from promoforge.operators.absence import absence_state
 from promoforge.operators.facets import facet_counts
-from promoforge.operators.ranking import running
-from promoforge.operators.reports import spread_sample
+from promoforge.operators.ranking import running, weighted_cut
+from promoforge.operators.reports import retention, spread_sample
 from promoforge.plans.publish import publish, publish_scans
 from promoforge.plans.search import SearchRequest, facets, result_page
 from promoforge.schemas import OFFER, SCAN, SOURCE
@@ -237,6 +237,52 @@ def test_running_totals_with_one_hot_group(spark):
         assert r.running_total == -sum(v for v, _ in ordered[: at + 1])
 
 
+@pytest.mark.parametrize("limit", [0, 1, 499, 500, 50_000, 10**9])
+def test_weighted_cut(spark, limit):
+    rng = random.Random(limit)
+    rows = [(rng.choice((5, 6, 400_000_000_000, rng.randrange(600_000_000_000))), rng.randrange(0, 500)) for _ in range(400)]
+    got = weighted_cut(spark.createDataFrame(rows, "at bigint, size bigint").coalesce(1), F.col("at"), F.col("size"), limit, 5, 600_000_000_000)
+    total, want = 0, None
+    for at in sorted({a for a, _ in rows}, reverse=True):
+        here = sum(s for a, s in rows if a == at)
+        if total + here > limit:
+            want = (at, total)
+            break
+        total += here
+    assert got == want
+
+
+def test_retention_around_the_cut(spark):
+    big = 200 * 1024 * 1024
+    rows = [(1, 0, big, "b"), (2, 0, None, "b"), (3, 60, big, None), (4, 60, big, "b"), (5, 120, big, "b"), (6, 120, big, "b"), (7, 120, 1, "b"), (8, 180, 1, "b"), (9, 8 * 86_400, 1, "b"), (10, 8 * 86_400, 1, None)]
+    frame = spark.createDataFrame(rows, "id int, ago long, size long, body string").withColumn("fetched_at", F.timestamp_seconds(F.lit(1_800_000_000) - F.col("ago")))
+    end = datetime.fromtimestamp(1_800_000_000)
+    assert {r.id: r.dropped for r in retention(frame, end, F.col("size"), F.col("body"), [F.asc("id")]).collect()} == {
+        1: False, 2: False, 4: False, 5: True, 6: True, 7: True, 8: True, 9: True}
+    assert {r.id for r in retention(frame.where("id > 7"), end, F.col("size"), F.col("body"), [F.asc("id")]).where("dropped").collect()} == {9}
+    assert retention(frame.where("id = 10"), end, F.col("size"), F.col("body"), [F.asc("id")]).count() == 0
+
+
+def test_spread_sample_of_a_hot_group(spark):
+    """A group over many chunks and groups that share one."""
+    hint = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(6000).select(F.when(F.col("id") % 10 < 8, "hot").otherwise(F.concat(F.lit("g"), F.col("id") % 90)).alias("g"), "id", (F.col("id") * 7919 % 6007).alias("v"))
+        got = {(r.g, r.v, r.position, r.group_size, r.times) for r in spread_sample(rows, ["g"], [F.desc("v")]).collect()}
+        groups = {}
+        for r in rows.collect():
+            groups.setdefault(r.g, []).append(r.v)
+        want = set()
+        for g, values in groups.items():
+            values.sort(reverse=True)
+            picks = [round(i * (len(values) - 1) / 49) for i in range(min(50, len(values)))]
+            want |= {(g, values[p], p + 1, len(values), picks.count(p)) for p in picks}
+        assert got == want
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", hint)
+
+
 def test_spread_sample_small_groups(spark):
     rows = spark.range(7).withColumn("g", F.lit("a"))
     got = sorted((r.id, r.times) for r in spread_sample(rows, ["g"], [F.asc("id")]).collect())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 from html.entities import html5
 
@@ -238,6 +239,11 @@ def _reference(token: Column) -> Column:
     return F.when(F.startswith(name, F.lit("#")), _numbered(number)).otherwise(F.coalesce(whole, tail, token))
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unescape(text: Column) -> Column:
     """Decode every named and numbered character reference, in one pass."""
     tokens = F.regexp_extract_all(text, F.lit(f"(?s){_REFERENCE}|&|[^&]+"), F.lit(0))

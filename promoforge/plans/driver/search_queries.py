@@ -16,7 +16,11 @@ from promoforge.plans.driver.views import (
     now,
     table,
 )
-from promoforge.plans.search import SearchRequest, candidates, facets, result_page, selected
+from promoforge.plans.search import SearchRequest, candidates, facets, result_page, selected, stored_page
+from promoforge.schemas import SOURCE
+from promoforge.session import work_path
+from promoforge.sources.catalog import CatalogStore
+from promoforge.sources.postings import Postings
 from promoforge.values import CATEGORIES
 
 CATEGORY_VALUES = ", ".join(f"('{c}')" for c, _ in CATEGORIES)
@@ -113,6 +117,51 @@ def search_recent(spark, sf_dir):
     return page_columns(result_page(catalog(spark, sf_dir), request))
 
 
+RED_MED = ("list_bool_and([len(list_filter(string_split(lower(title || ' ' || brand), ' '), lambda w: starts_with(w, t))) > 0 for t in ['red', 'med']])",
+           "CASE WHEN title = 'red med' THEN 0 WHEN starts_with(title, 'red med') THEN 1 ELSE 2 END, listing_id")
+TARGETS = ("src-1", "src-2", "src-3", "src-5", "src-8")
+# Where and in which order the pages of the stored catalog are taken.
+STORED_PAGES = {
+    "price": ("basis = 'kg' AND coalesce(minimum_pack_count, 1) <= 1 AND period = 'current'", "amount_cents, listing_id", 24, 0),
+    "words": (*RED_MED, 50, 0),
+    "long words": ("period = 'current' AND contains(' ' || lower(title || ' ' || brand), ' burnished') AND contains(' ' || lower(title || ' ' || brand) || ' ', ' economy')",
+                   "listing_id", 24, 0),
+    "targets": (f"source_id IN {TARGETS} AND retailer_id IN ('ret-1', 'ret-2', 'ret-4', 'ret-7', 'ret-9', 'ret-15') AND period = 'current'", "start_at DESC, listing_id DESC", 24, 0),
+    "second recent": ("period = 'current'", "start_at DESC, listing_id DESC", 20, 20),
+    "second expiry": ("period = 'current'", "end_at_exclusive NULLS LAST, listing_id", 20, 20),
+    "nothing": ("false", "listing_id", 24, 0),
+}
+
+
+@query("stored_pages", " UNION ALL ".join(f"SELECT '{name}' AS page, * FROM ({page_sql(*sql)})" for name, sql in STORED_PAGES.items()))
+def stored_pages(spark, sf_dir):
+    """Pages of a stored catalog fetched late, by postings, of targets and retailers, and behind a key."""
+    store = CatalogStore(spark, work_path(spark, "catalog"), shards=8, buckets=4)
+    store.commit(spark.createDataFrame([], SOURCE), catalog(spark, sf_dir))
+    postings = Postings(store)
+    postings.update(range(store.shards))
+
+    def behind(**asked):
+        """The page after the first one, by the key of its last row."""
+        first = stored_page(store, SearchRequest(NOW, limit=20, **asked)).orderBy(F.desc("rank")).first()
+        key = {"id": first.id, "first_seen_at": first.first_seen_at, "end_at_exclusive": first.validity.end_at_exclusive}
+        rows = stored_page(store, SearchRequest(NOW, limit=20, after=key, **asked))
+        return rows.withColumn("rank", F.col("rank") + 20)
+
+    pages = {
+        "price": stored_page(store, SearchRequest(NOW, sort="price", price_basis="kg")),
+        "words": stored_page(store, SearchRequest(NOW, sort="relevance", query="  RED  mèd ", validity="all", limit=50), postings),
+        "long words": stored_page(store, SearchRequest(NOW, sort="relevance", query="burnished economy"), postings),
+        "targets": stored_page(store, SearchRequest(NOW, targets=TARGETS, retailer_ids=("ret-1", "ret-2", "ret-4", "ret-7", "ret-9", "ret-15"))),
+        "second recent": behind(), "second expiry": behind(sort="expiry"),
+        "nothing": stored_page(store, SearchRequest(NOW, sort="relevance", query="nowhere"), postings)}
+    parts = [page_columns(rows).withColumn("page", F.lit(name)) for name, rows in pages.items()]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
 @query("search_selection", f"""WITH {STATES_SQL}
 SELECT retailer_id, category_id, count(*) AS n, sum(amount_cents)::BIGINT AS cents FROM visible
 WHERE NOT is_voucher AND period = 'current' GROUP BY ALL""")

@@ -17,10 +17,10 @@ NOW_SQL = "TIMESTAMP '1998-06-15 12:00:00'"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table. The small ones are one file of one row group, which Spark cannot split: such a scan is
-    dealt out, so that the rendering of pages and listings uses all cores. Tables of many parts are read as they are."""
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return scan.repartition(spark.sparkContext.defaultParallelism) if scan.rdd.getNumPartitions() == 1 else scan
+    """A given table. The small ones are one file of one row group, which Spark cannot split (it may cut the file, but then one part has all rows):
+    where there are fewer parts than cores, rows are dealt out, so that the rendering of pages and listings uses all cores. Tables of many parts are read as they are."""
+    scan, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def now():

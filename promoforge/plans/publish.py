@@ -11,15 +11,17 @@ from promoforge.operators import reconcile as R
 from promoforge.operators.scan_fold import fold_scans, scans_in_turn
 from promoforge.session import written_once
 from promoforge.sources.catalog import CatalogStore
+from promoforge.sources.postings import Postings
 
 
 def publish_scans(
     store: CatalogStore, incoming: DataFrame, scans: DataFrame, position: Sequence[Column], manifests: DataFrame | None = None,
+    postings: Postings | None = None,
 ) -> DataFrame | None:
     """Commit what all ``scans`` of one batch leave, in one revision; returns the scan metrics, which the store holds as well.
 
     ``incoming`` names the scan of each offer (``scan_id``). The scans of a source count in the order they were made. Only the shards of scanned
-    sources are read and rewritten. Superseded and repeated scans change nothing; if none is left there is no new revision.
+    sources are read and rewritten, and ``postings`` with them. Superseded and repeated scans change nothing; if none is left there is no new revision.
     """
     sources = store.read_sources()
     allowed = written_once(scans_in_turn(scans, sources), "allowed")
@@ -29,6 +31,8 @@ def publish_scans(
     kept, seen, verdicts = fold_scans(store.read(shards=touched), incoming, allowed, position)
     metrics = R.scan_metrics(verdicts)
     store.commit(R.sources_after(sources, verdicts, manifests), seen, kept, metrics)
+    if postings is not None:
+        postings.update(touched)
     return metrics
 
 

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 from promoforge.functions.text import normalized_literal
 from promoforge.operators import predicates as P
 from promoforge.operators.facets import facet_counts
+from promoforge.operators.predicates import with_time_states
 from promoforge.operators.ranking import after_key, order_columns, page
+from promoforge.sources.catalog import CatalogStore
+from promoforge.sources.postings import Postings
 from promoforge.values import CATEGORIES, MAX_TARGETS
 
 _CHOICES = {
@@ -104,3 +107,23 @@ def result_page(catalog: DataFrame, request: SearchRequest) -> DataFrame:
     if request.after is not None:
         rows = rows.where(after_key(request.sort, request.after))
     return page(rows, order_columns(request.sort, request.query), request.limit, request.offset)
+
+
+def stored_offers(store: CatalogStore, request: SearchRequest, postings: Postings | None = None) -> DataFrame:
+    """What a search of a stored catalog has to read: the shards of its targets, and with ``postings`` only the offers of its tokens."""
+    if postings is not None and request.tokens:
+        return postings.offers(request.tokens, request.targets)
+    return store.read(request.targets)
+
+
+def stored_page(store: CatalogStore, request: SearchRequest, postings: Postings | None = None) -> DataFrame:
+    """:func:`result_page` of a stored catalog, fetched late: first the keys of the page from the columns that filter and order, then its rows.
+
+    The keys of a page (at most ``limit``) go to the driver and come back as conditions on the sorted columns of the store, so the
+    wide columns are read only where the page's offers lie.
+    """
+    keys = result_page(stored_offers(store, request, postings), request).select("source_id", "id", "rank", "has_more").collect()
+    ranks = store.spark.createDataFrame(keys, "source_id string, id string, rank int, has_more boolean")
+    rows = store.read(sorted({k.source_id for k in keys})).where(F.col("id").isin(*[k.id for k in keys]))
+    # A page has at most as many rows as a request may ask for.
+    return with_time_states(rows.join(F.broadcast(ranks), ["source_id", "id"]), request.now_column)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promoforge.functions.text import markup_text, unescape
+from promoforge.functions.text import bound, markup_text, unescape
 
 _HIDDEN = r"(?is)<!--.*?-->|<(script|style|template)\b.*?</\1\s*>"
 _ANCHOR = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>.*?(?=</a\s*>|<a\b|$)"""
 _HREF = r"""(?is)^<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>(.*)$"""
+_TAG = r"""(?is)<a\b[^>]*?\shref\s*=\s*(?:"([^"]*)"|'([^']*)')[^>]*>"""
 _ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)"
 
 
@@ -66,12 +67,19 @@ def anchors(html: Column) -> Column:
     )
 
 
+def hrefs(html: Column) -> Column:
+    """References of the anchors in page order, without reading what the anchors say."""
+    tags = F.regexp_extract_all(visible_markup(html), F.lit(_TAG), F.lit(0))
+    return F.transform(tags, lambda tag: bound(F.concat(F.regexp_extract(tag, _TAG, 1), F.regexp_extract(tag, _TAG, 2)), unescape))
+
+
 def extract_links(pages: DataFrame, html: str = "body", url: str = "url", keep=None) -> DataFrame:
     """One row per distinct link of a page with its position among them; ``keep`` filters.
 
     Order-preserving and within the page, so there is no shuffle.
     """
-    links = F.array_distinct(F.transform(anchors(F.col(html)), lambda a: resolve(F.col(url), a["href"])))
+    links = F.transform(F.array_distinct(hrefs(F.col(html))), lambda href: resolve(F.col(url), href))
+    links = F.array_distinct(links)
     if keep is not None:
         links = F.filter(links, keep)
     columns = [c for c in pages.columns if c not in (html, url)]

@@ -40,6 +40,9 @@ def scans_in_turn(scans: DataFrame, sources: DataFrame) -> DataFrame:
     A scan has to be newer than the last success before it, and another than the one before it. The scans of a
     source are those of one batch; their number is what a batch is allowed to hold.
     """
+    if "extra" in scans.columns:
+        # Maps have no order; as entries they have.
+        scans = scans.withColumn("extra", F.array_sort(F.map_entries("extra")))
     scan = F.struct("scan_at", "scan_id", *[c for c in scans.columns if c not in ("source_id", "scan_at", "scan_id")])
     each = scans.groupBy("source_id").agg(F.array_sort(F.collect_set(scan)).alias("scans")).join(
         sources.select("source_id", F.col("last_success").alias("at"), F.col("last_scan_id").alias("last_id")), "source_id", "left")
@@ -51,7 +54,8 @@ def scans_in_turn(scans: DataFrame, sources: DataFrame) -> DataFrame:
         return F.when(newer, F.struct(s["scan_at"].alias("at"), s["scan_id"].alias("id"), F.array_append(state["taken"], s).alias("taken"))).otherwise(state)
 
     taken = each.select("source_id", F.posexplode(F.aggregate("scans", start, step)["taken"]).alias("pos", "scan"))
-    return taken.select("source_id", (F.col("pos") + 1).alias("turn"), "scan.*")
+    rows = taken.select("source_id", (F.col("pos") + 1).alias("turn"), "scan.*")
+    return rows.withColumn("extra", F.map_from_entries("extra")) if "extra" in rows.columns else rows
 
 
 def sight(incoming: DataFrame, position: Sequence[Column]) -> DataFrame:

@@ -360,3 +360,35 @@ def batch_rollup(spark, sf_dir):
 def batch_campaigns(spark, sf_dir):
     """Distinct campaigns of a batch."""
     return batches.campaigns(lines(spark, sf_dir))
+
+
+@query("batch_details", """WITH parts AS (SELECT 'src-' || o_custkey AS source_id, o_orderkey AS pos, 'https://p/' || o_orderkey % 50 AS url, o_orderstatus = 'P' AS failed,
+    CASE WHEN o_orderkey % 7 = 0 THEN ['w' || o_orderkey % 3, 'late'] END AS warnings, ['cmp-' || month(o_orderdate), 'cmp-' || month(o_orderdate), NULL] AS campaigns FROM orders),
+said AS (SELECT source_id, pos, CASE WHEN failed THEN 'failed' ELSE 'visited' END AS kind, url AS value FROM parts
+  UNION ALL SELECT source_id, pos, 'warning', unnest(warnings) FROM parts UNION ALL SELECT DISTINCT source_id, pos, 'campaign', unnest(campaigns) FROM parts WHERE NOT failed)
+SELECT source_id, kind, value, count(*) AS parts, min(pos) AS first_pos FROM said WHERE value IS NOT NULL GROUP BY ALL""")
+def batch_details(spark, sf_dir):
+    """What the pages of a scan visited, missed, warned of and belonged to."""
+    key, month = F.col("o_orderkey"), text("cmp-", F.month("o_orderdate"))
+    parts = table(spark, sf_dir, "orders").select(
+        text("src-", F.col("o_custkey")).alias("source_id"), key.alias("pos"), text("https://p/", key % 50).alias("url"), (F.col("o_orderstatus") == "P").alias("failed"),
+        F.when(key % 7 == 0, F.array(text("w", key % 3), F.lit("late"))).alias("warnings"), F.array(month, month, F.lit(None).cast("string")).alias("campaign_ids"))
+    return batches.scan_details(parts)
+
+
+@query("scan_sink", f"""WITH {LINES_SQL}, nothing AS (
+  SELECT source_id, id, campaign_id, title, cents, loyalty, packs, first_s, false AS withdrawn, 0 AS missing, NULL::BIGINT AS missing_s FROM lines WHERE false),
+{round_sql('nothing', "l_returnflag <> 'N'", 'one', NOW_S - 43200)}, {round_sql('one', "l_linestatus = 'O'", 'two', NOW_S)}
+SELECT source_id, 'scan-1' AS scan_id, published::BIGINT AS published, (offers - published)::BIGINT AS duplicate_count, (2 + conflicts)::BIGINT AS quarantined,
+  length(source_id)::BIGINT AS seconds, CASE WHEN complete THEN 'complete' ELSE 'partial' END AS completeness, NULL::BIGINT AS resources FROM one_verdict
+UNION ALL SELECT source_id, 'scan-2', published, offers - published, 2 + conflicts, length(source_id), CASE WHEN complete THEN 'complete' ELSE 'partial' END, 99 FROM two_verdict""")
+def scan_sink(spark, sf_dir):
+    """The stored metrics of two scans with the caller's own figures; for the second also as the source row has them, where the caller's count."""
+    store = CatalogStore(spark, work_path(spark, "catalog"), shards=4, buckets=4)
+    for incoming, scan in two_scans(spark, sf_dir):
+        own = F.create_map(F.lit("seconds"), F.length("source_id").cast("double"), F.lit("resources"), F.lit(99.0))
+        publish(store, incoming, scan.withColumn("extra", own), last_first("_p1", "_p2"))
+    last = store.read_sources().select("source_id", F.col("last_scan_id").alias("scan_id"), F.col("metrics")["resources"].cast("bigint").alias("resources"))
+    figures = ["published", "duplicate_count", "quarantined"]
+    rows = store.read_metrics().select("source_id", "scan_id", *[F.col(f).cast("bigint").alias(f) for f in figures], F.col("extra")["seconds"].cast("bigint").alias("seconds"), "completeness")
+    return rows.join(last, ["source_id", "scan_id"], "left")

@@ -10,11 +10,12 @@ from promoforge.operators import absence, batches
 from promoforge.operators import reconcile as R
 from promoforge.operators.reports import availability
 from promoforge.plans.driver.registry import query
-from promoforge.plans.driver.views import NOW_SQL, as_catalog, now, table, text
+from promoforge.plans.driver.views import LISTINGS_SQL, NOW_SQL, as_catalog, listings, now, table, text
 from promoforge.plans.publish import publish, publish_scans
 from promoforge.schemas import OFFER, SCAN, SOURCE
 from promoforge.session import work_path, written_once
 from promoforge.sources.catalog import CatalogStore
+from promoforge.streaming import availability as A
 from promoforge.streaming.absence import absence_updates
 from promoforge.streaming.scans import ingest
 
@@ -392,3 +393,37 @@ def scan_sink(spark, sf_dir):
     figures = ["published", "duplicate_count", "quarantined"]
     rows = store.read_metrics().select("source_id", "scan_id", *[F.col(f).cast("bigint").alias(f) for f in figures], F.col("extra")["seconds"].cast("bigint").alias("seconds"), "completeness")
     return rows.join(last, ["source_id", "scan_id"], "left")
+
+
+# Hours from the moment of the tables to the end of each step; the last one brings no offers.
+STEPS = (-30, 0, 20)
+
+
+@query("stream_availability_timers", f"""WITH {LISTINGS_SQL}, steps(step, hours) AS (VALUES (0, {STEPS[0]}), (1, {STEPS[1]}), (2, {STEPS[2]})),
+seen AS (SELECT step, l_suppkey, is_voucher, start_at, end_at_exclusive, {NOW_SQL} + to_hours(hours) AS t,
+    withdrawn OR (step > 0 AND l_partkey % 10 = 0) AS gone, quality, CASE WHEN step > 0 AND l_partkey % 10 = 1 THEN CAST(epoch({NOW_SQL}) AS BIGINT) ELSE verified_s END AS verified
+  FROM listings, steps),
+counted AS (SELECT step, l_suppkey, CASE WHEN is_voucher THEN 'coupons' WHEN start_at > t THEN 'future' ELSE 'current' END AS kind FROM seen
+  WHERE NOT gone AND quality <> 'quarantined' AND coalesce(end_at_exclusive > t, true) AND epoch(t) - verified <= 172800)
+SELECT step, 'src-' || s_suppkey AS source_id, {", ".join(f"(SELECT count(*) FROM counted c WHERE c.step = steps.step AND c.l_suppkey = s_suppkey AND kind = '{k}') AS {k}" for k in ("current", "future", "coupons"))}
+FROM supplier, steps""")
+def stream_availability_timers(spark, sf_dir):
+    """T5, T4: counts kept by signed changes, after all offers came, after some changed, and after only time passed."""
+    folder = work_path(spark, "availability")
+    flat = listings(spark, sf_dir)
+    moment = [F.timestamp_seconds(F.unix_seconds(now()) + hours * 3600) for hours in STEPS]
+    key = F.col("l_partkey") % 10
+    changed = flat.where(key < 2).withColumns({
+        "withdrawn": F.col("withdrawn") | (key == 0), "verified_s": F.when(key == 1, F.unix_seconds(now())).otherwise(F.col("verified_s"))})
+    inputs = [A.offer_changes(as_catalog(flat), moment[0]), A.offer_changes(as_catalog(changed), moment[1]), A.clock(spark, moment[2])]
+    sources = table(spark, sf_dir, "supplier").select(text("src-", F.col("s_suppkey")).alias("source_id"))
+    steps = []
+    for step, rows in enumerate(inputs):
+        # Every step brings the clock with it, so that time is known even where nothing changes.
+        rows.unionByName(A.clock(spark, moment[step])).write.mode("append").parquet(f"{folder}/inbox")
+        stream = spark.readStream.schema(rows.schema).parquet(f"{folder}/inbox")
+        A.availability_changes(stream).writeStream.outputMode("append").option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/changes").format(
+            "parquet").trigger(availableNow=True).start().awaitTermination()
+        counts = A.availability_of(spark.read.schema(A.CHANGES).parquet(f"{folder}/changes"), sources)
+        steps.append(written_once(counts.withColumn("step", F.lit(step)), "counts"))
+    return steps[0].unionByName(steps[1]).unionByName(steps[2])

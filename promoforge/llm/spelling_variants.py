@@ -146,6 +146,32 @@ def probe(words: list[str], filters: Filters, alphabet: np.ndarray) -> tuple[np.
     return np.concatenate(left), np.concatenate(right)
 
 
+def probe_wide(word: str, filters: Filters, alphabet: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`probe` for one long word: all its places at once instead of all words at one place."""
+    letters = _letters([word])[0]
+    length = len(letters)
+    powers = _powers(length)[:length]
+    terms = letters * powers
+    total = terms.sum(dtype=np.uint64)
+    found: list[np.ndarray] = []
+
+    def take(edits: np.ndarray, of: int):
+        edits = _sized(edits, of)
+        found.append(edits[filters.maybe(edits, of)])
+
+    before = np.cumsum(terms, dtype=np.uint64) - terms
+    lower = np.append(letters[1:] * powers[:-1], np.uint64(0))
+    after = np.cumsum(lower[::-1], dtype=np.uint64)[::-1]
+    new = np.append(True, letters[1:] != letters[:-1])
+    take((before + after)[new], length - 1)
+    for start in range(0, length, CHUNK):
+        here = letters[start:start + CHUNK, None]
+        places, which = np.nonzero(alphabet > here)
+        take(total + (alphabet[which] - here[places, 0]) * powers[start + places], length)
+    right = np.concatenate(found)
+    return np.full(len(right), _sized(np.array([total]), length)[0]), right
+
+
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
@@ -178,11 +204,9 @@ def _probed(shared, alphabet: np.ndarray):
         waiting: list[str] = []
 
         def settle():
-            for rows in _by_length(waiting).values():
-                # Wide words go through in smaller groups, so that a group's letters stay few.
-                step = max(1, CHUNK * LONGEST // max(LONGEST, len(waiting[rows[0]])))
-                for start in range(0, len(rows), step):
-                    a, b = probe([waiting[i] for i in rows[start:start + step]], shared.value, alphabet)
+            for length, rows in _by_length(waiting).items():
+                found = (probe([waiting[i] for i in rows], shared.value, alphabet),) if length <= LONGEST else (probe_wide(waiting[i], shared.value, alphabet) for i in rows)
+                for a, b in found:
                     yield pa.RecordBatch.from_arrays([_signed(a), _signed(b)], ["a_key", "b_key"])
             waiting.clear()
 

@@ -76,6 +76,10 @@ def test_probes_meet_every_edit(rng):
     for group in by_length.values():
         a, b = sv.probe(group, sv.Filters(blocks, places), alphabet)
         met |= set(zip(a.tolist(), b.tolist(), strict=True))
+        for word in group[:20]:
+            one, wide = (sorted(zip(*(x.tolist() for x in pair), strict=True)) for pair in (
+                sv.probe([word], sv.Filters(blocks, places), alphabet), sv.probe_wide(word, sv.Filters(blocks, places), alphabet)))
+            assert one == wide
         probes += len(group) * len(group[0]) * (len(alphabet) + 1)
     for a in words:
         for b in words:

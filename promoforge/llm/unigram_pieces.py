@@ -27,6 +27,8 @@ import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame, SparkSession
 
+from promoforge.llm.common import slices
+
 MARK = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_PIECES = 1 << 20
@@ -237,7 +239,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         encoder = _encoder(name, shared)
         is_byte = np.zeros(len(encoder.vocabulary.surface), bool)
         is_byte[list(encoder.vocabulary.byte_ids.values())] = True
-        for batch in batches:
+        for batch in slices(batches):
             lengths, ids, exact, fallback = [0], [], [], []
             for value in batch.column("text"):
                 text = value.as_py() or ""

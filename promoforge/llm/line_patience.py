@@ -1,7 +1,7 @@
 """Line deduplication by pairwise alignment.
 
-Each repeated line names its first holder, the earliest text with that line, and so does each repeated run of lines. A text is
-aligned with the first holders of its lines and runs, so the pairs grow with the lines and not with the square of a group; the lines that are
+Each repeated line that is long enough to be deleted names its first holder, the earliest text with that line, and so does each repeated run of
+lines. A text is aligned with the first holders of its lines and runs, so the pairs grow with the lines and not with the square of a group; the lines that are
 rarest in both texts are the anchors of a patience diff, and the blocks of lines aligned that way are deleted from
 the later text if they are long enough. Whole copies of a text are found by their digest and need no alignment.
 Decisions are made on the texts as given: what is deleted elsewhere does not matter.
@@ -9,7 +9,8 @@ Decisions are made on the texts as given: what is deleted elsewhere does not mat
 Lines are compared with blanks around and between words made one space; lines without a word separate nothing and
 are never deleted by themselves, only inside an aligned block. Words are runs of non-blank characters.
 
-First holders of single lines are not enough: each line of a block may occur earlier by itself. So every shortest run of
+A line of too few words makes no block by itself, so only longer lines name their first holder alone; common short lines make no pairs.
+First holders of single lines are not enough either: each line of a block may occur earlier by itself. So every shortest run of
 lines that reaches the least number of words, from each line on and back from each line, names its first holder too. Every line of
 a block that an earlier text has lies in such a run inside the block, so the text is aligned with the earliest
 text that holds this run. Only runs of lines that all occur in other texts are formed. An alignment is in one order: blocks that
@@ -203,15 +204,18 @@ def line_decisions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     read = given.select("key", _place(F.col("id"), F.col("key")).alias("place"), line_hashes(F.col("text")).alias("lines"))
     texts = read.groupBy("key").agg(F.min("place").alias("place"), F.first("lines").alias("lines"))
     texts = written_once(texts.select("key", "place", F.col("lines.h").alias("h"), F.col("lines.n").alias("n")), "line-texts")
-    # Pairs: each line of a text names the first text that holds it, and so does each run.
-    held = texts.select("key", "place", F.explode(F.array_distinct("h")).alias("line")).where("line <> 0")
+    # Pairs: each long line of a text names the first text that holds it, and so does each run.
+    lines = F.array_distinct(F.transform(F.arrays_zip("h", "n"), lambda x: F.struct(x["h"].alias("line"), x["n"].alias("words"))))
+    held = texts.select("key", "place", F.inline(lines)).where("line <> 0")
     mine = written_once(held.join(_first_holders(held, "line"), "line"), "line-held")
     known = mine.groupBy("key").agg(F.collect_list("line").alias("known")).where(F.size("known") > 1)
     formed = texts.join(known, "key").select("key", "place", "h", "n", "known")
     place = texts.schema["place"].dataType.simpleString()
     formed = formed.mapInArrow(_runs(min_words), f"key binary, place {place}, runs array<bigint>")
     runs = written_once(formed.select("key", "place", F.explode("runs").alias("run")), "line-runs")
-    named = mine.select("key", "place", "first").unionByName(runs.join(_first_holders(runs, "run"), "run").select("key", "place", "first"))
+    # A line by itself makes a block only if it has enough words; shorter ones count in the runs they lie in.
+    alone = mine.where(F.col("words") >= min_words)
+    named = alone.select("key", "place", "first").unionByName(runs.join(_first_holders(runs, "run"), "run").select("key", "place", "first"))
     pairs = named.where(F.col("place") != F.col("first")).select("key", F.col("first.key").alias("other")).distinct()
     pairs = written_once(pairs, "line-pairs")
     # Alignment needs the line hashes of both; a first holder of many texts is a hot key that Spark splits.

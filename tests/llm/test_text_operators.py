@@ -11,6 +11,7 @@ import xxhash
 from conftest_llm import ODD, make_docs, prose
 
 from promoforge.llm.components import connected_components
+from promoforge.llm import line_patience
 from promoforge.llm.line_patience import common_blocks, dedup_lines, delete_common
 from promoforge.llm.near_copies import first_copies
 from promoforge.llm.pii_anchors import BASE_KINDS, find_pii, luhn, personal_data
@@ -327,6 +328,23 @@ def test_lines(spark, rng):
     assert dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_common_lines_make_no_pairs(spark, rng, monkeypatch):
+    """Texts of short lines that many texts have, in any order: no pair, and a planted block is still found."""
+    common = [prose(rng, 5) for _ in range(60)]
+    block = [prose(rng, 11), prose(rng, 12)]
+    rows = []
+    for i in range(40):
+        lines = [f"{line} {i} own" if k % 3 == 0 else line for k, line in enumerate(rng.sample(common, 40))]
+        rows.append((i, "\n".join([*lines[:20], *(block if i in (7, 31) else []), *lines[20:]])))
+    pairs = []
+    real = line_patience.written_once
+    monkeypatch.setattr(line_patience, "written_once", lambda r, name: pairs.append(r.count()) or real(r, name) if name == "line-pairs" else real(r, name))
+    got = {r.id: r for r in dedup_lines(make_docs(spark, rows)).collect()}
+    assert pairs == [1]
+    assert [i for i, r in got.items() if r.n_removed] == [31]
+    assert got[31].text == "\n".join(line for line in rows[31][1].split("\n") if line not in block)
+
+
 def test_block_whose_lines_all_occur_before(spark, rng):
     """The first holder of the block is the first holder of none of its lines."""
     one, two, three = prose(rng, 12), prose(rng, 12), prose(rng, 3)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from promoforge.operators import reconcile as R
 from promoforge.operators.scan_fold import fold_scans, scans_in_turn
-from promoforge.session import written_once
+from promoforge.session import spent_after, written_once
 from promoforge.sources.catalog import CatalogStore
 from promoforge.sources.postings import Postings
 
@@ -24,15 +24,17 @@ def publish_scans(
     sources are read and rewritten, and ``postings`` with them. Superseded and repeated scans change nothing; if none is left there is no new revision.
     """
     sources = store.read_sources()
-    allowed = written_once(scans_in_turn(scans, sources), "allowed")
-    touched = [r.shard for r in allowed.select(store.shard_column().alias("shard")).distinct().collect()]
-    if not touched:
-        return None
-    kept, seen, verdicts = fold_scans(store.read(shards=touched), incoming, allowed, position)
-    metrics = R.scan_metrics(verdicts)
-    store.commit(R.sources_after(sources, verdicts, manifests), seen, kept, metrics)
-    if postings is not None:
-        postings.update(touched)
+    # A stream commits for years; what a commit writes on its way goes with it.
+    with spent_after(store.spark):
+        allowed = written_once(scans_in_turn(scans, sources), "allowed")
+        touched = [r.shard for r in allowed.select(store.shard_column().alias("shard")).distinct().collect()]
+        if not touched:
+            return None
+        kept, seen, verdicts = fold_scans(store.read(shards=touched), incoming, allowed, position)
+        metrics = written_once(R.scan_metrics(verdicts), "metrics", keep=True)
+        store.commit(R.sources_after(sources, verdicts, manifests), seen, kept, metrics)
+        if postings is not None:
+            postings.update(touched)
     return metrics
 
 

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -52,12 +55,37 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written_once(rows: DataFrame, name: str) -> DataFrame:
+# Tables written inside the innermost ``spent_after``, if there is one.
+_SPENT: ContextVar[list[str] | None] = ContextVar("spent", default=None)
+
+
+@contextmanager
+def spent_after(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that ``written_once`` wrote inside, once all inside is done; if it fails they stay.
+
+    For work that ends in a written result: nothing read lazily later may come from a table written
+    inside, except those marked ``keep``.
+    """
+    paths: list[str] = []
+    token = _SPENT.set(paths)
+    try:
+        yield
+    finally:
+        _SPENT.reset(token)
+    for path in paths:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written_once(rows: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Rows stored in the shared folder and read from there.
 
     For results of costly work that several plans use: it is done once, survives the loss of
-    an executor, and each user reads only the columns it needs.
+    an executor, and each user reads only the columns it needs. ``keep``: also beyond ``spent_after``.
     """
     path = work_path(rows.sparkSession, name)
+    spent = _SPENT.get()
+    if spent is not None and not keep:
+        spent.append(path)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -1,5 +1,6 @@
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from promoforge.operators.reports import retention, spread_sample
 from promoforge.plans.publish import publish, publish_scans
 from promoforge.plans.search import SearchRequest, facets, result_page
 from promoforge.schemas import OFFER, SCAN, SOURCE
+from promoforge.session import spent_after, written_once
 from promoforge.sources.catalog import CatalogStore
 from promoforge.streaming.absence import fold
 
@@ -288,3 +290,22 @@ def test_spread_sample_small_groups(spark):
     got = sorted((r.id, r.times) for r in spread_sample(rows, ["g"], [F.asc("id")]).collect())
     picks = [round(i * 6 / 49) for i in range(7)]
     assert got == [(p, picks.count(p)) for p in sorted(set(picks))]
+
+
+def test_spent_tables_go(spark):
+    """Tables written inside go when all is done, kept ones and those of failed work stay."""
+    def there(rows):
+        return [Path(f.removeprefix("file://").removeprefix("file:")).exists() for f in rows.inputFiles()]
+
+    with spent_after(spark):
+        spent, kept = written_once(spark.range(3), "spent"), written_once(spark.range(3), "kept", keep=True)
+        files = spent.inputFiles()
+        assert all(there(spent))
+    assert kept.count() == 3 and all(there(kept))
+    assert not any(Path(f.removeprefix("file://").removeprefix("file:")).exists() for f in files)
+    with pytest.raises(ValueError, match="lost"), spent_after(spark):
+        left = written_once(spark.range(3), "left")
+        raise ValueError("lost")
+    assert left.count() == 3
+    outside = written_once(spark.range(2), "outside")
+    assert outside.count() == 2
